@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import packing
+from helixframe.llm import language, packing, quality, substrings
 from helixframe.runtime import prepare
 
 
@@ -19,12 +20,52 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_table(spark, sf_dir, "documents"))
+
+
+def _remainder(of: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_remainder(4) != 2), language.load_pieces(vocabulary("piece_bpe_32k.model")))
+    return language.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(_table(spark, sf_dir, "documents")).drop("_text")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op6_language_id": op6_language_id,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_ONLY = r"length(regexp_replace(coalesce(text, ''), '[^{}]', '', 'g'))"
+
+SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+        pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM d),
+        win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM pos),
+        rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM win WHERE n > 1) GROUP BY doc_id),
+        lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS u FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+                CAST({_ONLY.format('#*$%&|<>')} AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_lines, CAST(coalesce(l.n - l.u, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+                {_ONLY.format('!')} AS excl, {_ONLY.format('A-Z')} AS up, {_ONLY.format('a-z')} AS low, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS alpha
+              FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines l USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * excl > 20 * n_words OR 100 * up > 50 * (up + low) OR 100 * n_dup_lines > 30 * n_lines
+            OR 100 * alpha < 70 * n_words OR 100 * word_chars < 200 * n_words OR 100 * word_chars > 1500 * n_words) AS kept
+        FROM b""",
+}
