@@ -49,7 +49,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
 }
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _ONLY = r"length(regexp_replace(coalesce(text, ''), '[^{}]', '', 'g'))"
 
 SQL: dict[str, str] = {
