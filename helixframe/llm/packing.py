@@ -8,6 +8,7 @@ depends on ``capacity``, never on the number of documents.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,55 +24,104 @@ from pyspark.sql import Window as W
 from helixframe.runtime import settle
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_part", pa.int32()), ("_nth", pa.int64())])
-#: Entries that a worker's word memo may hold before it starts anew.
-MEMO = 400_000
-#: Words longer than this are encoded each time.
+#: Entries in each of the two generations of a worker's word memo.
+MEMO = 600_000
+#: Longer words are encoded each time.
 MEMO_WORD = 64
+#: Texts that are encoded together.
+TOGETHER = 200
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of whole texts by a tokenizer that drops white space and never joins across it.
 
-    return Tokenizer.from_file(path), {}
-
-
-def encode_ids(text: str, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers.
-
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    space-separated words in order; words already seen on this worker are looked up.
+    A text's ids are then those of its words in order, so words this worker has met are looked
+    up. New words of letters only are encoded many in one call: each ends at the one token with
+    the vocabulary's end-of-word mark. Others are encoded one by one.
     """
-    tok, memo = _tokenizer(path)
-    words = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
-    get = memo.get
-    new = list({w for w in words if w not in memo})
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(words))
-        batch = getattr(tok, "encode_batch_fast", tok.encode_batch)(new, add_special_tokens=False)
-        extra = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, batch)}
-        memo.update((w, v) for w, v in extra.items() if len(w) <= MEMO_WORD)
-        return b"".join([v if (v := get(w)) is not None else extra[w] for w in words])
-    return b"".join(map(get, words))
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.batch(words, add_special_tokens=False))}
+
+    def _joined(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):
+                out |= self._each(part)
+                continue
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops):
+                out[w] = raw[start:stop]
+                start = stop
+        return out
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words new to the memo. A last comma or stop after a letter is a token of its own."""
+        plain = {w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in words if w}
+        known = {w: v for w in plain if (v := self.young.get(w) or self.old.get(w)) is not None}
+        plain.update(".,")
+        todo = [w for w in plain if w not in known]
+        known |= self._joined([w for w in todo if w.isalpha()]) | self._each([w for w in todo if not w.isalpha()])
+        return {w: b"" if not w else known[w] if w in known else known[w[:-1]] + known[w[-1]] for w in words}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        flat, at = [], [0]
+        for t in texts:
+            if "<|" not in t:  # special tokens are case-sensitive; all else is lower-cased by the tokenizer anyhow
+                t = t.encode().lower().decode()
+            flat += t.replace("\n", " ").split(" ")
+            at.append(len(flat))
+        found = list(map(self.young.get, flat))
+        missing = [i for i, v in enumerate(found) if v is None]
+        if missing:
+            new = {flat[i] for i in missing}
+            if len(self.young) + len(new) > MEMO:
+                self.old, self.young = self.young, {}
+            got = {w: self.old[w] for w in new if w in self.old}
+            got |= self._words([w for w in new if w not in got])
+            for i in missing:
+                found[i] = got[flat[i]]
+            self.young.update((w, v) for w, v in got.items() if len(w) <= MEMO_WORD)
+        return [b"".join(found[i:j]) for i, j in zip(at, at[1:])]
+
+
+_encoder = functools.lru_cache(maxsize=1)(Encoder)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     part, nth = TaskContext.get().partitionId(), {}
     end = np.array([end_id], "<u4").tobytes()
-    for b in batches:
-        rows = {f.name: [] for f in PIECES}
-        for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            ids = encode_ids(text or "", path) + end
-            n = len(ids) // 4
-            for piece, start in enumerate(range(0, n, capacity)):
-                length = min(capacity, n - start)
-                k = nth[length] = nth.get(length, -1) + 1
-                crc = zlib.crc32(ids if n <= capacity else ids[4 * start : 4 * (start + length)])
-                for f, v in zip(PIECES.names, (doc, piece, start, length, crc, part, k)):
-                    rows[f].append(v)
-        yield pa.RecordBatch.from_pydict(rows, schema=PIECES)
+    encoder = _encoder(path)
+    for whole in batches:
+        for at in range(0, len(whole), TOGETHER):
+            b = whole.slice(at, TOGETHER)
+            rows = {f.name: [] for f in PIECES}
+            for doc, ids in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()])):
+                ids += end
+                n = len(ids) // 4
+                for piece, start in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - start)
+                    k = nth[length] = nth.get(length, -1) + 1
+                    crc = zlib.crc32(ids if n <= capacity else ids[4 * start : 4 * (start + length)])
+                    for f, v in zip(PIECES.names, (doc, piece, start, length, crc, part, k)):
+                        rows[f].append(v)
+            yield pa.RecordBatch.from_pydict(rows, schema=PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
