@@ -1,15 +1,66 @@
-"""The corpus pipeline: STAGES in order, and run() over documents."""
+"""The corpus pipeline: language, quality, near duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from helixframe.llm import jaccard, language, packing, quality, substrings
+from helixframe.llm.queries import vocabulary
+from helixframe.runtime import prepare, settle
+
+
+def know_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays open, go."""
+    prepare(spark)
+    return language.keep_known(docs, language.fit(docs, language.load_pieces(vocabulary("piece_bpe_32k.model"))))
+
+
+def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    prepare(spark)
+    return quality.keep_good(docs)
+
+
+def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    prepare(spark)
+    return jaccard.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out."""
+    prepare(spark)
+    return substrings.remove_repeats(docs)
+
+
+def fill_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences of 2048 tokens."""
+    prepare(spark)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", know_language),
+    ("quality_rules", pass_rules),
+    ("ngram_jaccard_join", join_near),
+    ("substring_dedup", cut_repeats),
+    ("best_fit_packing", fill_sequences),
+]
+
+#: The stages go beyond SQL (a trained model, a tokenizer); a test holds them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents; each stage's result is written and read again."""
+    prepare(spark)
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         df = stage(spark, df, sf_dir)
+        if i + 1 < len(STAGES):
+            df = settle(df, f"stage-{name}")
     return df

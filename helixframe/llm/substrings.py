@@ -81,13 +81,13 @@ def repeated_spans(documents: DataFrame, min_words: int = 25) -> DataFrame:
 def remove_repeats(documents: DataFrame, min_words: int = 25) -> DataFrame:
     """``documents`` with repeated spans cut out of ``text``; rows and other columns stay, n_chars
     (if there) follows. White space around a cut stays as it was."""
-    spans = repeated_spans(documents, min_words).groupBy(F.col("doc_id").alias("_d"), F.col("_text").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    docs = documents.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
-    text = F.col("text").cast("string")
+    spans = repeated_spans(documents, min_words).groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    docs = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    joined = docs.join(spans, docs["id"].eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs["text"]) == spans["_text"]), "left").select("row", "text", "cuts")
+    text = F.col("text")
     # the kept pieces: from the end of one cut to the start of the next
-    cuts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("_cuts"))
+    cuts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("cuts"))
     pieces = F.transform(cuts, lambda c, i: F.substring(text, c["end"] + 1, F.coalesce(F.get(cuts, i + 1)["start"], F.length(text)) - c["end"]))
-    out = F.when(F.col("_cuts").isNull(), text).otherwise(F.array_join(pieces, ""))
-    cols = [out.alias("text") if c == "text" else F.length(out).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
+    out = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(pieces, ""))
+    cols = [out.alias("text") if c == "text" else F.length(out).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in documents.columns]
     return joined.select(*cols)
