@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import jaccard, language, packing, quality, substrings, topk, warc
+from helixframe.llm import jaccard, language, lm, packing, quality, substrings, topk, warc
 from helixframe.runtime import prepare
 
 
@@ -38,6 +38,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"), _remainder(10) == 0)
+
+
 def _remainder(of: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
 
@@ -59,6 +63,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,

@@ -46,7 +46,8 @@ def _powers(n: int) -> np.ndarray:
 class Words:
     """The words of a batch of texts: byte spans, and where each text's words begin."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, between: np.ndarray = _SPACE):
+        """between: which bytes part words."""
         texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
         n = len(texts)
         ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
@@ -56,7 +57,7 @@ class Words:
         if lower:
             self.data = _LOWER[self.data]
         self.text_at = ends - first
-        inside = ~_SPACE[self.data]
+        inside = ~between[self.data]
         starts, stops = inside.copy(), inside.copy()
         starts[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
