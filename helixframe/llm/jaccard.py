@@ -14,7 +14,8 @@ Jaccard distance is a metric, so pivots can cut the space:
    is then apart). Members far from every pivot form an outer cell of their own. Members within
    the radius of a pivot are linked to it; what is linked need not be compared again, so a large
    group of near copies takes a few comparisons a document. Cells recurse until small or linked
-   throughout; then pairs of still separate documents are verified.
+   throughout, or until pivots no longer part them. Such leaves compare, in blocks, the documents
+   that are still apart with the rest, within the window of their distances from a common pivot.
 
 Hot groups never meet in one task: regions, cells and links are rows of tables.
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -36,8 +38,8 @@ from helixframe.runtime import settle
 
 #: Regions up to this many members are joined at once.
 SMALL = 16
-#: Document pivots of a larger region in each round.
-PIVOTS = 4
+#: Document pivots of a larger cell in each round, and documents of a block of a leaf.
+PIVOTS, BLOCK = 4, 256
 _NULL_ID = (1 << 63) - 1
 
 
@@ -70,6 +72,28 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield out.filter(pa.compute.equal(out.column("node"), out.column("found"))).select(["node", "keys"])
 
 
+def _compare(left: pd.DataFrame, right: pd.DataFrame, t: int, window: float) -> pd.DataFrame:
+    """Links of a block of documents to a block of others, one to each component at most."""
+    out: set[tuple[int, int]] = set()
+    if len(left) and len(right):
+        size = np.array([len(k) for k in right["keys"]])
+        keys, owner = np.concatenate(right["keys"].to_list()), np.repeat(np.arange(len(right)), size)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        roots, names, places = right["root"].to_numpy(), right["node"].to_numpy(), right["at"].to_numpy()
+        for node, root, at, own in zip(left["node"], left["root"], left["at"], left["keys"]):
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            n = hi - lo
+            first = np.cumsum(n) - n
+            hit = owner[np.repeat(lo - first, n) + np.arange(int(n.sum()))]
+            both = np.bincount(hit, minlength=len(right))
+            ok = (100 * both >= t * (size + len(own) - both)) & (roots != root) & (np.abs(places - at) <= window)
+            found = np.flatnonzero(ok)
+            _, one = np.unique(roots[found], return_index=True)
+            out.update((min(node, x), max(node, x)) for x in names[found[one]].tolist())
+    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
+
+
 class _Join:
     def __init__(self, documents: DataFrame, k: int, per_cent: int):
         self.k, self.t = k, per_cent
@@ -126,53 +150,59 @@ class _Join:
         small = settle(self.small_pairs(), "jaccard-pairs")
         self.load_sets(small)
         links = settle(self.measured(small).filter("linked").select("a", "b"), "jaccard-links")
-        radius, eps = 1 - self.t / 100, 1e-9
-        none = F.lit(None).cast("array<double>")
-        cells = self.members.filter(F.col("c") > SMALL).select(F.col("sig").alias("cell"), "node", "n", none.alias("at"))
-        round_ = 0
+        radius = 1 - self.t / 100
+        hot = self.members.filter(F.col("c") > SMALL)
+        weight = hot.groupBy("node").agg(F.sum("times").alias("h"))  # those in most regions lie in the middle of their copies
+        cells = hot.select(F.col("sig").alias("cell"), "node", F.lit(None).cast("double").alias("at"))
         while True:
-            cells = cells.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-            picks = [F.min_by("node", F.xxhash64("node", F.lit(round_ * PIVOTS + i))).alias(f"p{i}") for i in range(PIVOTS)]
+            cells = cells.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).join(weight, "node")
+            picks = [F.max_by("node", F.struct("h", "node")).alias("p0"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)]]
             split = cells.groupBy("cell").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most"), *picks).filter("lo < hi").drop("lo", "hi")
-            cells = settle(cells.join(split, "cell"), "jaccard-cells")
+            cells = settle(cells.drop("h").join(split, "cell"), "jaccard-cells")
             if cells.isEmpty():
                 return links
-            leaf = (F.col("c") <= SMALL) | F.col("at").isNotNull()
-            pairs = self.leaf_pairs(cells.filter(leaf), radius + eps)
+            leaf = (F.col("c") <= BLOCK) | F.col("at").isNotNull()
+            found = self.leaf_links(cells.filter(leaf), radius)
             wide = cells.filter(~leaf).withColumn("ps", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])))
             arms = wide.select(F.col("node").alias("a"), F.explode("ps").alias("b")).filter("a <> b").distinct()
-            dist = settle(self.measured(pairs.union(arms)), "jaccard-distances")
-            links = settle(links.union(dist.filter("linked").select("a", "b")), "jaccard-links")
+            dist = settle(self.measured(arms), "jaccard-distances")
+            links = settle(links.union(found).union(dist.filter("linked").select("a", "b")), "jaccard-links")
             if wide.isEmpty():
                 return links
-            cells = settle(self.next_cells(wide, dist, radius, eps), "jaccard-cells")
-            round_ += 1
-
-    def leaf_pairs(self, leaf: DataFrame, window: float) -> DataFrame:
-        """Pairs of separate components within a leaf; one of a pair is outside the leaf's largest component."""
-        side = lambda x: leaf.select("cell", *[F.col(c).alias(c + x) for c in ("node", "n", "root", "at", "most")])
-        pairs = side("a").filter("roota <> mosta").join(side("b"), "cell")
-        apart = F.coalesce(F.exists(F.zip_with("ata", "atb", lambda x, y: F.abs(x - y) > window), lambda x: x), F.lit(False))
-        return pairs.filter("roota <> rootb and (rootb = mostb or nodea < nodeb)").filter(self.near(F.col("na"), F.col("nb"))).filter(~apart).select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
-
-    def next_cells(self, wide: DataFrame, dist: DataFrame, radius: float, eps: float) -> DataFrame:
-        """The members of wide cells by their pivots. A pivot itself is done. A cell that its pivots
-        cannot part (its cells would hold over twice its members) stays one leaf, whose pairs are
-        then held against the members' distances ``at`` from the pivots."""
-        to = wide.select("cell", "node", "n", "c", F.explode("ps").alias("p"))
+            cells = settle(self.next_cells(wide, dist, radius), "jaccard-cells")
+
+    def leaf_links(self, leaf: DataFrame, radius: float) -> DataFrame:
+        """Links between separate components within a leaf, in blocks: those outside the leaf's largest
+        component against all. A link from each to each other component is enough."""
+        rows = leaf.join(self.sets, "node").select("cell", "node", "root", "most", F.coalesce("at", F.lit(0.0)).alias("at"), "keys", (1 + F.floor(F.col("c") / BLOCK)).cast("int").alias("nb"))
+        block = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("nb")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+        side = lambda df, x, y: df.select(*[F.col(c).alias(c) for c in ("cell", "node", "root", "at", "keys")], x.alias("x"), y.alias("y"))
+        left, right = side(rows.filter("root <> most"), block(1), every), side(rows, every, block(2))
+        t = self.t
+        key = ["cell", "x", "y"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: _compare(a, b, t, radius + 1e-9), "a long, b long")
+
+    def next_cells(self, wide: DataFrame, dist: DataFrame, radius: float) -> DataFrame:
+        """The members of wide cells by their pivots. A pivot itself is done. Cells of one pivot are
+        one cell, wherever its members come from. A cell that its pivots don't part well (its cells
+        would hold over twice its members, or one of them over half) becomes a leaf, together
+        with those of the same first pivot; ``at`` is then the distance from it."""
+        to = wide.select("cell", "node", "c", "p0", F.explode("ps").alias("p"))
         to = to.join(dist.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"], "left")
         to = to.withColumn("d", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        per = to.groupBy("cell", "node").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("p", "d"))).alias("arms"))
-        per = per.withColumn("least", F.array_min(F.transform("arms", lambda x: x["d"]))).filter("least > 0")
-        far = 3 * radius  # beyond it from every pivot: the outer cell
+        per = to.groupBy("cell", "node").agg(F.first("c").alias("c"), F.first("p0").alias("p0"), F.min("d").alias("least"), F.min(F.when(F.col("p") == F.col("p0"), F.col("d"))).alias("d0"), F.collect_list(F.struct("p", "d")).alias("arms")).filter("least > 0")
+        far, eps = 3 * radius, 1e-9  # farther than this from every pivot: the outer cell
         keep = F.transform(F.filter("arms", lambda x: x["d"] <= F.least(F.col("least") + 2 * radius, F.lit(far + radius)) + eps), lambda x: x["p"])
         keep = F.when(F.col("least") <= far, keep).otherwise(F.concat(keep, F.array(F.lit(None).cast("long"))))
-        per = settle(per.withColumn("to", keep), "jaccard-arms")
-        stuck = per.groupBy("cell").agg((F.sum(F.size("to")) > 2 * F.first("c")).alias("stuck"))
+        per = settle(per.withColumn("to", keep).drop("arms"), "jaccard-arms")
+        sizes = per.select("cell", "c", F.explode("to").alias("p")).groupBy("cell", "c", "p").count()
+        stuck = sizes.groupBy("cell").agg(((F.sum("count") > 2 * F.first("c")) | (2 * F.max("count") > F.first("c"))).alias("stuck"))
         per = per.join(stuck, "cell")
-        whole = per.filter("stuck").select("cell", "node", "n", F.transform("arms", lambda x: x["d"]).alias("at"))
-        parted = per.filter("not stuck").select("cell", "node", "n", F.explode("to").alias("p")).select(F.xxhash64("cell", F.coalesce("p", F.lit(0)), F.col("p").isNull()).alias("cell"), "node", "n", F.lit(None).cast("array<double>").alias("at"))
-        return whole.union(parted)
+        whole = per.filter("stuck").select(F.xxhash64("p0", F.lit(1)).alias("cell"), "node", F.col("d0").alias("at"))
+        parted = per.filter("not stuck").select("cell", "node", F.explode("to").alias("p"))
+        own = F.when(F.col("p").isNull(), F.xxhash64("cell", F.lit(2))).otherwise(F.xxhash64("p", F.lit(3)))
+        return whole.union(parted.select(own.alias("cell"), "node", F.lit(None).cast("double").alias("at"))).distinct()
 
     def run(self) -> DataFrame:
         self.regions()
