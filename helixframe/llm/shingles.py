@@ -19,7 +19,7 @@ from helixframe.llm.wordbytes import U64, Words, mix64, planes, sequence_hash, s
 #: Bits of a hash that choose its entry in the class table; the table's size is fixed: 16 MB.
 SLOT_BITS = 24
 #: Hashes that a task gathers before it passes them on.
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 
 
 def shingle_hashes(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -111,7 +111,7 @@ def sequence_hash(h: np.ndarray) -> np.ndarray:
         return mix64(np.array([(h * _ODD[: len(h)]).sum() + U64(7919 * len(h))], U64))
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice holds at most ``most`` text bytes, or one text."""
     for b in batches:
         col = b.column(b.schema.get_field_index(text)).cast(pa.large_string())
