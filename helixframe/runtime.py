@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later steps don't depend on the
     executors that made it."""
-    path = scratch(df.sparkSession, name)
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # shuffle files of what is written now go as soon as nothing refers to them
+    return spark.read.schema(schema).parquet(path)
