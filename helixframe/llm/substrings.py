@@ -2,7 +2,7 @@
 occurrence of smallest rank stays and the others are removed, with their original offsets.
 
 A unit is a line, cut further after words that end in ``.``, ``!`` or ``?`` and after words whose
-hash says so (one in 32): passages that begin or end inside a line still share their inner units.
+hash says so (one in 8): passages that begin or end inside a line still share their inner units.
 Units are compared lower-cased (A-Z) with white space collapsed. Only runs of repeated units with
 ``min_words`` words in all are removed, so that short common lines stay.
 """
@@ -13,14 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, slices
 from helixframe.runtime import settle
 
-_UNITS = "d1 long, d2 long, doc_id long, _text long, unit int, again boolean, w0 int, w1 int, start int, end int"
+#: place: the unit's number and, lowest, whether its text has had it before; words, chars: from (high half) and to.
+_UNITS = "d1 long, d2 long, doc_id long, _text long, place long, words long, chars long"
 _NAMES = [x.split()[0] for x in _UNITS.split(", ")]
 
 
@@ -33,7 +33,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, data = w.hashes(), w.data
         last = data[w.stop - 1]
         gap_nl = np.concatenate([[0], np.cumsum(data == 10)])
-        cut = (last == 46) | (last == 33) | (last == 63) | (mix64(h) % U64(32) == 0)
+        cut = (last == 46) | (last == 33) | (last == 63) | (mix64(h) % U64(8) == 0)
         cut[:-1] |= gap_nl[w.start[1:]] > gap_nl[w.stop[:-1]]
         ends = w.ptr[1:][w.ptr[1:] > w.ptr[:-1]]
         cut[ends - 1] = True  # a text's last word
@@ -56,11 +56,11 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = s.column("doc_id").take(pa.array(owner))
         texts = s.column("_text").take(pa.array(owner))
         w0 = start - w.ptr[owner]
-        i32 = lambda a: pa.array(a, pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), ids, texts, i32(unit), pa.array(again), i32(w0), i32(w0 + size), i32(chars[w.start[start]] - base), i32(chars[w.stop[stop - 1]] - base)], _NAMES)
+        pair = lambda lo, hi: pa.array((lo.astype(np.int64) << 32) | hi.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), ids, texts, pa.array(unit * 2 + again), pair(w0, w0 + size), pair(chars[w.start[start]] - base, chars[w.stop[stop - 1]] - base)], _NAMES)
 
 
-def repeated_spans(documents: DataFrame, min_words: int = 25) -> DataFrame:
+def repeated_spans(documents: DataFrame, min_words: int = 20) -> DataFrame:
     """Spans to remove: doc_id, _text (xxhash64 of the text), start, end (code points of the
     original text, end exclusive), n_words, kept_doc_id (where the span's first unit stays).
 
@@ -71,14 +71,17 @@ def repeated_spans(documents: DataFrame, min_words: int = 25) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("_text", F.xxhash64("text"))
     units = docs.mapInArrow(_units, _UNITS)
     groups = settle(units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept")).filter("n > 1").drop("n"), "repeated-units")
-    mine = units.join(groups, ["d1", "d2"]).filter("again or doc_id > kept")
-    w = W.partitionBy("doc_id", "_text").orderBy("unit")
-    runs = mine.withColumn("_run", F.col("unit") - F.dense_rank().over(w)).groupBy("doc_id", "_text", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).cast("long").alias("n_words"), F.min_by("kept", "unit").alias("kept_doc_id"))
+    mine = units.join(groups, ["d1", "d2"]).filter((F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("kept")))
+    low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    high = lambda c: F.shiftright(F.col(c), 32)
+    w = Window.partitionBy("doc_id", "_text").orderBy("place")
+    run = F.shiftright("place", 1) - F.dense_rank().over(w)  # rises where a unit between is no repeat
+    runs = mine.withColumn("_run", run).groupBy("doc_id", "_text", "_run").agg(F.min(high("chars")).cast("int").alias("start"), F.max(low("chars")).cast("int").alias("end"), (F.max(low("words")) - F.min(high("words"))).alias("n_words"), F.min_by("kept", "place").alias("kept_doc_id"))
     null_back = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias(c)
     return runs.filter(F.col("n_words") >= min_words).select(null_back("doc_id"), "_text", "start", "end", "n_words", null_back("kept_doc_id"))
 
 
-def remove_repeats(documents: DataFrame, min_words: int = 25) -> DataFrame:
+def remove_repeats(documents: DataFrame, min_words: int = 20) -> DataFrame:
     """``documents`` with repeated spans cut out of ``text``; rows and other columns stay, n_chars
     (if there) follows. White space around a cut stays as it was."""
     spans = repeated_spans(documents, min_words).groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
