@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.runtime import settle
+from helixframe.runtime import discard, settle
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,10 +43,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))  # every larger neighbour to the least
         small = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = settle(large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u > v").distinct(), "edges")
+        old, e = e, settle(large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u > v").distinct(), "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break
         before = now
     roots = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-    return settle(roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    out = settle(roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    discard(e)
+    return out

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.components import components
 from helixframe.llm.shingles import class_table, digest, distinct, keys_of, shingle_hashes
 from helixframe.llm.wordbytes import slices
-from helixframe.runtime import settle
+from helixframe.runtime import discard, settle
 
 #: Regions up to this many members are joined at once.
 SMALL = 16
@@ -116,7 +116,7 @@ class _Join:
         self.nodes = settle(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "jaccard-nodes")
         sigs = self.nodes.select("node", "n", F.explode("sigs").alias("sig"))
         found = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).filter("c > 1")
-        alike = settle(found.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "c", "times"), "jaccard-regions")
+        self.alike = alike = settle(found.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "c", "times"), "jaccard-regions")
         self.members = settle(sigs.join(alike, "sig"), "jaccard-members")
 
     def small_pairs(self) -> DataFrame:
@@ -154,22 +154,30 @@ class _Join:
         hot = self.members.filter(F.col("c") > SMALL)
         weight = hot.groupBy("node").agg(F.sum("times").alias("h"))  # those in most regions lie in the middle of their copies
         cells = hot.select(F.col("sig").alias("cell"), "node", F.lit(None).cast("double").alias("at"))
+        kept: list[DataFrame] = [small]  # tables of this search
         while True:
-            cells = cells.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")).join(weight, "node")
+            roots = components(links)
+            kept.append(roots)
+            cells = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(weight, "node")
             picks = [F.max_by("node", F.struct("h", "node")).alias("p0"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)]]
             split = cells.groupBy("cell").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most"), *picks).filter("lo < hi").drop("lo", "hi")
             cells = settle(cells.drop("h").join(split, "cell"), "jaccard-cells")
+            kept.append(cells)
             if cells.isEmpty():
-                return links
+                break
             leaf = (F.col("c") <= BLOCK) | F.col("at").isNotNull()
             found = self.leaf_links(cells.filter(leaf), radius)
             wide = cells.filter(~leaf).withColumn("ps", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])))
             arms = wide.select(F.col("node").alias("a"), F.explode("ps").alias("b")).filter("a <> b").distinct()
             dist = settle(self.measured(arms), "jaccard-distances")
+            kept += [dist, links]
             links = settle(links.union(found).union(dist.filter("linked").select("a", "b")), "jaccard-links")
             if wide.isEmpty():
-                return links
+                break
             cells = settle(self.next_cells(wide, dist, radius), "jaccard-cells")
+            kept.append(cells)
+        discard(*kept, self.sets, self.members, self.alike)
+        return links
 
     def leaf_links(self, leaf: DataFrame, radius: float) -> DataFrame:
         """Links between separate components within a leaf, in blocks: those outside the leaf's largest
@@ -206,14 +214,17 @@ class _Join:
 
     def run(self) -> DataFrame:
         self.regions()
-        roots = components(self.links())
+        links = self.links()
+        roots = components(links)
         plain = self.nodes.select("node", "doc")
         named = roots.join(plain, "node")
         names = named.groupBy("root").agg(F.min("doc").alias("least"))
         labels = plain.join(named.join(names, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
         out = self.rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")
         real = lambda c: F.when(c != _NULL_ID, c)
-        return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component_id", "doc_id")).alias("component_id"))
+        found = settle(out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-components")
+        discard(links, roots, self.nodes, self.rows)
+        return found
 
 
 def jaccard_components(documents: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:

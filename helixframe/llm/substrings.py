@@ -21,10 +21,14 @@ from helixframe.runtime import settle
 
 #: place: the unit's number and, lowest, whether its text has had it before; words, chars: from (high half) and to.
 _UNITS = "d1 long, d2 long, doc_id long, _text long, place long, words long, chars long"
+#: Bits of the map of repeated digests: 16 MB, whatever the input. It only saves shuffling; a full one is no error.
+MAP_BITS = 27
 _NAMES = [x.split()[0] for x in _UNITS.split(", ")]
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[pa.RecordBatch]:
+    """Units of each text; with a bit map, those whose digest it may hold."""
+    bits = None if sent is None else np.frombuffer(sent.value, U64)
     for s in slices(batches):
         w = Words(s.column("text"), lower=True)
         n = len(w.start)
@@ -53,11 +57,16 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[order[1:]] = (owner[order[1:]] == owner[order[:-1]]) & (d1[order[1:]] == d1[order[:-1]])
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         base = chars[w.text_at[owner]]
-        ids = s.column("doc_id").take(pa.array(owner))
-        texts = s.column("_text").take(pa.array(owner))
         w0 = start - w.ptr[owner]
-        pair = lambda lo, hi: pa.array((lo.astype(np.int64) << 32) | hi.astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), ids, texts, pa.array(unit * 2 + again), pair(w0, w0 + size), pair(chars[w.start[start]] - base, chars[w.stop[stop - 1]] - base)], _NAMES)
+        keep = slice(None)
+        if bits is not None:
+            at = d1.view(U64) >> U64(64 - MAP_BITS)
+            keep = np.flatnonzero((bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1))
+            owner = owner[keep]
+        pair = lambda lo, hi: (lo.astype(np.int64) << 32) | hi.astype(np.int64)
+        of = lambda c: s.column(c).take(pa.array(owner))
+        place, words, at = unit * 2 + again, pair(w0, w0 + size), pair(chars[w.start[start]] - base, chars[w.stop[stop - 1]] - base)
+        yield pa.RecordBatch.from_arrays([pa.array(d1[keep]), pa.array(d2[keep]), of("doc_id"), of("_text"), pa.array(place[keep]), pa.array(words[keep]), pa.array(at[keep])], _NAMES)
 
 
 def repeated_spans(documents: DataFrame, min_words: int = 20) -> DataFrame:
@@ -71,6 +80,12 @@ def repeated_spans(documents: DataFrame, min_words: int = 20) -> DataFrame:
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("_text", F.xxhash64("text"))
     units = docs.mapInArrow(_units, _UNITS)
     groups = settle(units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept")).filter("n > 1").drop("n"), "repeated-units")
+    at = F.shiftrightunsigned("d1", 64 - MAP_BITS)
+    words = groups.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(d1, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()  # 2 ** (MAP_BITS - 6) rows at most
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = documents.sparkSession.sparkContext.broadcast(bits.tobytes())
+    units = docs.mapInArrow(lambda it: _units(it, sent), _UNITS)
     mine = units.join(groups, ["d1", "d2"]).filter((F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("kept")))
     low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
     high = lambda c: F.shiftright(F.col(c), 32)
