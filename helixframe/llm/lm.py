@@ -28,7 +28,7 @@ from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, planes, slices, un
 from helixframe.runtime import settle
 
 #: Tokens that a task encodes together.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Bits of an order's filter at most, bits that each entry is given, and probes for an entry.
 MAX_BITS, ENTRY_BITS, PROBES = 1 << 27, 10, 3
 #: Count thresholds: small counts exactly, then in steps of 30 %.
@@ -50,7 +50,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.concatenate([x[2] for x in held])
         keys, seq = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True)
         block = (part << 32) + nth
-        return pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "held": [out.tolist()], "size": [size.tolist()], "keys": [keys.tobytes()], "seq": [planes(seq.astype(np.uint32))]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("keys", pa.binary()), ("seq", pa.binary())]))
+        return pa.RecordBatch.from_pydict({"block": [block], "ids": [ids], "held": [out.tolist()], "size": [size.tolist()], "keys": [planes(np.diff(keys, prepend=U64(0)))], "seq": [planes(seq.astype(np.uint32))]}, schema=pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("keys", pa.binary()), ("seq", pa.binary())]))
 
     for s in slices(batches):
         w = Words(s.column("text"), lower=True)
@@ -75,7 +75,7 @@ class Block:
 
     def __init__(self, row):
         self.ids, self.held, self.size = list(row["ids"]), np.array(row["held"], bool), np.array(row["size"], np.int64)
-        self.keys, self.seq = np.frombuffer(row["keys"], U64), unplanes(row["seq"], np.uint32).astype(np.int64)
+        self.keys, self.seq = np.cumsum(unplanes(row["keys"], U64), dtype=U64), unplanes(row["seq"], np.uint32).astype(np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.trained = np.repeat(~self.held, self.size)
         # two marks before each text
@@ -89,6 +89,12 @@ class Block:
             self.three = mix64(np.concatenate([[U64(0)] * 2, two[:-1] * _ODD[13] + p[2:] * _ODD[14]]))
 
 
+def _rows(b: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, as each is large."""
+    for i in range(len(b)):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     if counts is None:
         keys = np.sort(keys)
@@ -104,7 +110,7 @@ def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
     """Per block, order and bucket (the keys' high bits): keys and training counts. All words of the
     block are among its 1-grams, with 0 where training has none."""
     for b in batches:
-        for row in b.to_pylist():
+        for row in _rows(b):
             x = Block(row)
             places = x.place[x.trained]
             starts = np.concatenate([[0], x.place[x.at[1:-1]] - 2])[~x.held] + 1 if len(x.size) else np.zeros(0, np.int64)
@@ -113,8 +119,8 @@ def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             rows: dict[str, list] = {"order": [], "bucket": [], "block": [], "keys": [], "counts": []}
             for order, (keys, n) in enumerate(grams, 1):
                 if order > 1:  # hashes need no more bits than these
-                    keys, n = _summed(keys >> U64(16), n)
-                width = 64 if order == 1 else 48
+                    keys, n = _summed(keys >> U64(24), n)
+                width = 64 if order == 1 else 40
                 edge = np.concatenate([np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(width - bits)), [len(keys)]])
                 for k in np.flatnonzero(edge[1:] > edge[:-1]):
                     own = slice(edge[k], edge[k + 1])
@@ -196,7 +202,7 @@ def _plan_filter(reach: np.ndarray, order: int, bits: int) -> Filter:
     while first < len(LEVELS) - 1 and entries[first] * ENTRY_BITS > MAX_BITS:
         first += 1
     size = max(1 << 16, min(MAX_BITS, 1 << int(max(1, entries[first] * ENTRY_BITS - 1)).bit_length()))
-    return Filter(bits, 64 if order == 1 else 48, first, max(3, size.bit_length() - 1 - bits))
+    return Filter(bits, 64 if order == 1 else 40, first, max(3, size.bit_length() - 1 - bits))
 
 
 class Model:
@@ -212,8 +218,8 @@ class Model:
         c1 = one.counts(np.concatenate([x.keys, [_BOS]]))
         full = np.full(len(x.seq) + 2 * len(x.size), c1[-1])
         full[x.place] = c1[x.seq]
-        c2 = two.counts(x.two >> U64(16))
-        c3 = three.counts((x.three >> U64(16))[x.place])
+        c2 = two.counts(x.two >> U64(24))
+        c3 = three.counts((x.three >> U64(24))[x.place])
         return full[x.place], full[x.place - 1], c2[x.place], c2[x.place - 1], c3
 
     def p1(self, c: np.ndarray) -> np.ndarray:
@@ -272,7 +278,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 f = filters[r["order"] - 1]
                 raw = f.fill(np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], np.int64))
                 yield pa.RecordBatch.from_pydict({"order": [r["order"]], "bucket": [r["bucket"]], "bytes": [raw.tobytes()]}, schema=pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("bytes", pa.binary())]))
@@ -286,7 +292,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _rows(b):
                 x = Block(row)
                 at = np.flatnonzero(x.trained)
                 at = at[:: max(1, len(at) * 4 // FIT_TOKENS)]
