@@ -107,5 +107,6 @@ def remove_repeats(documents: DataFrame, min_words: int = 20) -> DataFrame:
     cuts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("cuts"))
     pieces = F.transform(cuts, lambda c, i: F.substring(text, c["end"] + 1, F.coalesce(F.get(cuts, i + 1)["start"], F.length(text)) - c["end"]))
     out = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(pieces, ""))
-    cols = [out.alias("text") if c == "text" else F.length(out).cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in documents.columns]
+    left = F.when(F.col("cuts").isNull(), F.length(text)).otherwise(F.aggregate("cuts", F.length(text), lambda n, c: n - (c["end"] - c["start"])))
+    cols = [out.alias("text") if c == "text" else left.cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in documents.columns]
     return joined.select(*cols)
