@@ -153,7 +153,9 @@ class _Join:
         radius = 1 - self.t / 100
         hot = self.members.filter(F.col("c") > SMALL)
         weight = hot.groupBy("node").agg(F.sum("times").alias("h"))  # those in most regions lie in the middle of their copies
-        cells = hot.select(F.col("sig").alias("cell"), "node", F.lit(None).cast("double").alias("at"))
+        # regions whose middle is the same document are one cell
+        middle = hot.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("h", "node")).alias("p"))
+        cells = hot.join(middle, "sig").select(F.xxhash64("p", F.lit(0)).alias("cell"), "node", F.lit(None).cast("double").alias("at")).distinct()
         kept: list[DataFrame] = [small]  # tables of this search
         while True:
             roots = components(links)

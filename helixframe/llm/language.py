@@ -26,7 +26,7 @@ _BASE = 0x9E3779B97F4A7C15
 #: Probability of a character that is no piece, and the factor per character that keeps sums near 1.
 _UNKNOWN, _SCALE = 1e-7, 12.0
 #: Words whose scores a worker keeps before it starts anew.
-MEMO = 200_000
+MEMO = 100_000
 #: Longer words are scored one by one in log space.
 _LONG = 48
 
