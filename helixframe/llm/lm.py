@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, planes, slices, unplanes
 from helixframe.runtime import settle
 
-#: Tokens that a task encodes together.
-FLUSH = 400_000
+#: Tokens of a block, so that a row stays small, and tokens whose n-grams a task sums before passing them on.
+FLUSH, GATHER = 80_000, 1_000_000
 #: Bits of an order's filter at most, bits that each entry is given, and probes for an entry.
-MAX_BITS, ENTRY_BITS, PROBES = 1 << 27, 10, 3
+MAX_BITS, ENTRY_BITS, PROBES = 1 << 27, 8, 3
 #: Count thresholds: small counts exactly, then in steps of 30 %.
 LEVELS = np.unique(np.ceil(1.3 ** np.arange(90)).astype(np.int64))
 #: Training tokens that the interpolation is fitted on at most.
@@ -106,27 +106,44 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[at], n.astype(np.int64)
 
 
+_COUNTED = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def _bucketed(order: int, block: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Sorted keys and counts, a row for each bucket (the keys' high bits)."""
+    width = 64 if order == 1 else 40
+    edge = np.concatenate([np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(width - bits)), [len(keys)]])
+    rows: dict[str, list] = {f.name: [] for f in _COUNTED}
+    for k in np.flatnonzero(edge[1:] > edge[:-1]):
+        own = slice(edge[k], edge[k + 1])
+        for name, v in zip(rows, (order, k, block, planes(np.diff(keys[own], prepend=U64(0))), planes(n[own].astype(np.uint32)))):
+            rows[name].append(v)
+    return pa.RecordBatch.from_pydict(rows, schema=_COUNTED)
+
+
 def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Per block, order and bucket (the keys' high bits): keys and training counts. All words of the
-    block are among its 1-grams, with 0 where training has none."""
+    """Per order and bucket: keys and training counts. 1-grams go block by block, with all words of
+    the block, those that training lacks at 0; longer ones are summed over many blocks first."""
+    held: dict[int, list[np.ndarray]] = {2: [], 3: []}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for order, parts in held.items():
+            if parts:  # hashes of n-grams need no more than 40 bits
+                yield _bucketed(order, -1, *_summed(np.concatenate(parts) >> U64(24)), bits)
+                parts.clear()
+
     for b in batches:
         for row in _rows(b):
             x = Block(row)
             places = x.place[x.trained]
-            starts = np.concatenate([[0], x.place[x.at[1:-1]] - 2])[~x.held] + 1 if len(x.size) else np.zeros(0, np.int64)
+            starts = np.concatenate([[0], x.place[x.at[1:-1]] - 2])[~x.held] + 1
             one = np.bincount(x.seq[x.trained], minlength=len(x.keys)).astype(np.int64)
-            grams = [_summed(np.concatenate([x.keys, [_BOS]]), np.concatenate([one, [len(starts)]])), _summed(np.concatenate([x.two[places], x.two[starts]])), _summed(x.three[places])]
-            rows: dict[str, list] = {"order": [], "bucket": [], "block": [], "keys": [], "counts": []}
-            for order, (keys, n) in enumerate(grams, 1):
-                if order > 1:  # hashes need no more bits than these
-                    keys, n = _summed(keys >> U64(24), n)
-                width = 64 if order == 1 else 40
-                edge = np.concatenate([np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(width - bits)), [len(keys)]])
-                for k in np.flatnonzero(edge[1:] > edge[:-1]):
-                    own = slice(edge[k], edge[k + 1])
-                    for name, v in zip(rows, (order, k, row["block"], planes(np.diff(keys[own], prepend=U64(0))), planes(n[own].astype(np.uint32)))):
-                        rows[name].append(v)
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+            yield _bucketed(1, row["block"], *_summed(np.concatenate([x.keys, [_BOS]]), np.concatenate([one, [len(starts)]])), bits)
+            held[2] += [x.two[places], x.two[starts]]
+            held[3].append(x.three[places])
+            if sum(map(len, held[3])) >= GATHER:
+                yield from flush()
+    yield from flush()
 
 
 _MERGED = "order int, bucket int, block long, total long, kinds long, reach array<long>, keys binary, counts binary"
@@ -295,10 +312,10 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
             for row in _rows(b):
                 x = Block(row)
                 at = np.flatnonzero(x.trained)
-                at = at[:: max(1, len(at) * 4 // FIT_TOKENS)]
+                at = at[:: max(1, len(at) * 24 // FIT_TOKENS)]
                 yield pa.RecordBatch.from_arrays([pa.array(c[at].astype(np.int64)) for c in sent.value.raw(x)], ["w", "v", "vw", "uv", "uvw"])
 
-    seen = blocks.limit(4).mapInArrow(sample, "w long, v long, vw long, uv long, uvw long").limit(2 * FIT_TOKENS).toPandas()
+    seen = blocks.limit(24).mapInArrow(sample, "w long, v long, vw long, uv long, uvw long").limit(2 * FIT_TOKENS).toPandas()
     weights = None
     if len(seen):
         less = lambda c: np.maximum(seen[c].to_numpy(float) - 1, 0)  # noqa: E731  without the token itself
