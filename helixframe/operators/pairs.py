@@ -12,12 +12,21 @@ from helixframe.operators.regions import Region
 def placed_ops(start: Column | str = "start", text: Column | str = "cigar") -> Column:
     """array of operations with their first query and reference places (q0, r0), and the insertion
     length (ins) that follows a match at once."""
-    ops = cigar.ops(text)
     s = F.col(start) if isinstance(start, str) else start
-    span = lambda upto, kinds: F.aggregate(F.slice(ops, F.lit(1), upto), F.lit(0), lambda a, x: a + F.when(x["op"].isin(*kinds), x["len"]).otherwise(0))
-    follows = lambda i: F.get(ops, i + 1)
-    ins = lambda x, i: F.when(x["op"].isin(*cigar.MATCH) & (follows(i)["op"] == "I"), follows(i)["len"]).otherwise(0)
-    return F.transform(ops, lambda x, i: F.struct(x["op"].alias("op"), x["len"].alias("len"), span(i, cigar.QUERY).alias("q0"), (s + span(i, cigar.REF)).alias("r0"), ins(x, i).alias("ins")))
+
+    def place(ops: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(ops, F.lit(1), i), F.struct(F.lit(0).alias("q"), F.lit(0).alias("r")), lambda a, x: F.struct((a["q"] + F.when(x["op"].isin(*cigar.QUERY), x["len"]).otherwise(0)).alias("q"), (a["r"] + F.when(x["op"].isin(*cigar.REF), x["len"]).otherwise(0)).alias("r")))
+
+        def one(x: Column, i: Column) -> Column:
+            after = F.get(ops, i + 1)
+            ins = F.when(x["op"].isin(*cigar.MATCH) & (after["op"] == "I"), after["len"]).otherwise(0)
+            return F.struct(x["op"].alias("op"), x["len"].alias("len"), before(i).alias("at"), ins.alias("ins"))
+
+        return F.transform(ops, one)
+
+    # a lambda's variable, so that the text is parsed once
+    placed = F.transform(F.array(cigar.ops(text)), place)[0]
+    return F.transform(placed, lambda x: F.struct(x["op"].alias("op"), x["len"].alias("len"), x["at"]["q"].alias("q0"), (s + x["at"]["r"]).alias("r0"), x["ins"].alias("ins")))
 
 
 def _expanded(records: DataFrame, kinds: tuple[str, ...], region: Region | None = None) -> DataFrame:
