@@ -31,9 +31,10 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.bitmap import bitmap, may_hold
 from helixframe.llm.components import components
 from helixframe.llm.shingles import class_table, digest, distinct, keys_of, shingle_hashes
-from helixframe.llm.wordbytes import slices
+from helixframe.llm.wordbytes import U64, slices
 from helixframe.runtime import discard, settle
 
 #: Regions up to this many members are joined at once.
@@ -72,6 +73,22 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield out.filter(pa.compute.equal(out.column("node"), out.column("found"))).select(["node", "keys"])
 
 
+def _held(batches: Iterator[pa.RecordBatch], sent, column: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose value a bit map may hold."""
+    for b in batches:
+        yield b.filter(pa.array(may_hold(sent.value, b.column(column).to_numpy())))
+
+
+def _near(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Nodes with those of their shingles that a bit map (of keys without their class) may hold."""
+    for b in batches:
+        lists = b.column("sigs")
+        flat, at = lists.flatten().to_numpy(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        keep = may_hold(sent.value, (flat.view(U64) << U64(8)).view(np.int64))
+        at = np.concatenate([[0], np.cumsum(keep)])[at].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat[keep]))], ["node", "n", "sigs"])
+
+
 def _compare(left: pd.DataFrame, right: pd.DataFrame, t: int, window: float) -> pd.DataFrame:
     """Links of a block of documents to a block of others, one to each component at most."""
     out: set[tuple[int, int]] = set()
@@ -117,7 +134,10 @@ class _Join:
         sigs = self.nodes.select("node", "n", F.explode("sigs").alias("sig"))
         found = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).filter("c > 1")
         self.alike = alike = settle(found.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "c", "times"), "jaccard-regions")
-        self.members = settle(sigs.join(alike, "sig"), "jaccard-members")
+        # only shingles that some region has go into the shuffle
+        held = self.spark.sparkContext.broadcast(bitmap(alike, F.shiftleft("sig", 8)))
+        near = self.nodes.select("node", "n", "sigs").mapInArrow(lambda it: _near(it, held), "node long, n long, sigs array<long>").select("node", "n", F.explode("sigs").alias("sig"))
+        self.members = settle(near.join(alike, "sig"), "jaccard-members")
 
     def small_pairs(self) -> DataFrame:
         m = self.members.filter(F.col("c") <= SMALL)
@@ -134,7 +154,10 @@ class _Join:
     def load_sets(self, pairs: DataFrame) -> None:
         """The sets of all documents that may yet be compared."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(self.members.filter(F.col("c") > SMALL).select("node")).distinct()
-        texts = self.docs.join(self.nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id")), "doc_id").select("node", "text")
+        names = settle(self.nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id")), "jaccard-wanted")
+        held = self.spark.sparkContext.broadcast(bitmap(names, F.xxhash64("doc_id")))
+        hashed = self.docs.withColumn("hash", F.xxhash64("doc_id"))
+        texts = hashed.mapInArrow(lambda it: _held(it, held, "hash"), hashed.schema).drop("hash").join(names, "doc_id").select("node", "text")
         k = self.k
         self.sets = settle(texts.mapInArrow(lambda it: _sets(it, k), "node long, keys array<long>").dropDuplicates(["node"]), "jaccard-sets")
 
