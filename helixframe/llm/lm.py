@@ -28,7 +28,7 @@ from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, planes, slices, un
 from helixframe.runtime import settle
 
 #: Tokens of a block, so that a row stays small, and tokens whose n-grams a task sums before passing them on.
-FLUSH, GATHER = 80_000, 1_000_000
+FLUSH, GATHER = 180_000, 1_500_000
 #: Bits of an order's filter at most, bits that each entry is given, and probes for an entry.
 MAX_BITS, ENTRY_BITS, PROBES = 1 << 27, 8, 3
 #: Count thresholds: small counts exactly, then in steps of 30 %.
