@@ -28,7 +28,7 @@ from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, planes, slices, un
 from helixframe.runtime import settle
 
 #: Tokens of a block, so that a row stays small, and tokens whose n-grams a task sums before passing them on.
-FLUSH, GATHER = 180_000, 1_500_000
+FLUSH, GATHER = 80_000, 1_000_000
 #: Bits of an order's filter at most, bits that each entry is given, and probes for an entry.
 MAX_BITS, ENTRY_BITS, PROBES = 1 << 27, 8, 3
 #: Count thresholds: small counts exactly, then in steps of 30 %.
@@ -158,12 +158,12 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     if order == 1:
         for block, k in zip(pdf["block"], keys):
-            out.append((0, bucket, int(block), 0, 0, [], b"", planes(all_counts[np.searchsorted(all_keys, k)].astype(np.uint32))))
+            out.append((0, bucket, int(block), 0, 0, [], b"", planes(all_counts[np.searchsorted(all_keys, k)].astype(U64))))
     real = all_counts[all_keys != _BOS] if order == 1 else all_counts
     often = all_counts >= (1 if order == 1 else 2)
     ranked = np.sort(all_counts[often])
     reach = (len(ranked) - np.searchsorted(ranked, LEVELS)).tolist()
-    out.append((order, bucket, -1, int(real.sum()), int((real > 0).sum()), reach, all_keys[often].tobytes(), all_counts[often].tobytes()))
+    out.append((order, bucket, -1, int(real.sum()), int((real > 0).sum()), reach, planes(np.diff(all_keys[often], prepend=U64(0))), planes(all_counts[often].astype(U64))))
     return pd.DataFrame(out, columns=[x.split()[0] for x in _MERGED.split(", ")])
 
 
@@ -297,7 +297,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
         for b in batches:
             for r in _rows(b):
                 f = filters[r["order"] - 1]
-                raw = f.fill(np.frombuffer(r["keys"], U64), np.frombuffer(r["counts"], np.int64))
+                raw = f.fill(np.cumsum(unplanes(r["keys"], U64), dtype=U64), unplanes(r["counts"], U64).astype(np.int64))
                 yield pa.RecordBatch.from_pydict({"order": [r["order"]], "bucket": [r["bucket"]], "bytes": [raw.tobytes()]}, schema=pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("bytes", pa.binary())]))
 
     data = [np.zeros((1 << bits, max(1, (1 << f.slice_bits) // 8)), np.uint8) for f in filters]
@@ -330,7 +330,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
         if weights:
             model.mix2, model.mix3 = weights
         answers = answers.sort_values("bucket")
-        exact = np.concatenate([unplanes(c, np.uint32) for c in answers["counts"]]).astype(float)
+        exact = np.concatenate([unplanes(c, U64) for c in answers["counts"]]).astype(float)
         # answers are for the block's words and the mark before texts, in the order of their keys
         exact = np.delete(exact, np.searchsorted(x.keys, _BOS))
         known, base = exact[x.seq] > 0, np.log10((exact + 0.1) / (model.tokens + 0.1 * (model.kinds + 1)))[x.seq]
