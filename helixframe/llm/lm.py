@@ -2,15 +2,16 @@
 
 Counts of 1-, 2- and 3-grams are summed over all training documents. A filter holds each n-gram
 once for every count threshold that it reaches; a reader probes rising thresholds until one is
-absent, which gives the quantised count. Filters of fixed greatest size go to the workers;
-where the n-grams of an order would overfill theirs, the rarest are left out of it (a 1-gram from
-one occurrence on and others from two, if they fit). Probabilities are interpolated,
+absent, which gives the quantised count. A filter is in slices by the keys' high bits. The reducer
+of a slice sizes it by the entries counted there, fills it and probes it for the blocks of
+documents, so no filter is sent anywhere and none has a greatest size; 1-grams are held from one
+occurrence on and others from two. Probabilities are interpolated,
 
     p(w | u v) = x r3 + (1 - x) (y r2 + (1 - y) p1),    r3 = c(uvw) / c(uv),  r2 = c(vw) / c(v),
 
 where x and y depend on how common the context is; they are fitted by leaving one out on a bounded
-sample of training tokens. The base score beside it uses exact counts, which come back from the
-reducers to the documents, not by broadcast.
+sample of training tokens. The base score beside it uses exact counts. Both kinds of counts come
+back from the reducers to the documents, not by broadcast.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, planes, slices, unplanes
-from helixframe.runtime import settle
+from helixframe.runtime import discard, settle
 
-#: Tokens of a block, so that a row stays small, and tokens whose n-grams a task sums before passing them on.
-FLUSH, GATHER = 80_000, 1_000_000
-#: Bits of an order's filter at most, bits that each entry is given, and probes for an entry.
-MAX_BITS, ENTRY_BITS, PROBES = 1 << 27, 8, 3
+#: Tokens of a block, so that a row stays small.
+FLUSH = 80_000
+#: Bits that each entry is given at least (a slice's size is a power of two), and probes for an entry.
+ENTRY_BITS, PROBES = 8, 3
 #: Count thresholds: small counts exactly, then in steps of 30 %.
 LEVELS = np.unique(np.ceil(1.3 ** np.arange(90)).astype(np.int64))
 #: Training tokens that the interpolation is fitted on at most.
@@ -87,6 +88,17 @@ class Block:
             two = p[:-1] * _ODD[11] + p[1:] * _ODD[12]
             self.two = mix64(np.concatenate([[U64(0)], two]))  # at a place: it and the one before
             self.three = mix64(np.concatenate([[U64(0)] * 2, two[:-1] * _ODD[13] + p[2:] * _ODD[14]]))
+        # what is looked up: tokens, and for 1- and 2-grams the mark that comes before each text
+        self.marks = self.place[self.at[:-1]] - 1
+        self.both, self.learned = np.concatenate([self.place, self.marks]), np.concatenate([self.trained, ~self.held])
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct keys of an order, and which of them each place has (``both``, for 3-grams ``place``)."""
+        if order == 1:
+            k = int(np.searchsorted(self.keys, _BOS))
+            return np.insert(self.keys, k, _BOS), np.concatenate([self.seq + (self.seq >= k), np.full(len(self.marks), k)])
+        # hashes of longer n-grams need no more than 40 bits
+        return np.unique((self.two[self.both] if order == 2 else self.three[self.place]) >> U64(24), return_inverse=True)
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[dict]:
@@ -95,17 +107,6 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
         yield b.slice(i, 1).to_pylist()[0]
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate([at, [len(keys)]])) if counts is None else np.add.reduceat(counts, at) if len(at) else counts
-    return keys[at], n.astype(np.int64)
-
-
 _COUNTED = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
@@ -122,48 +123,39 @@ def _bucketed(order: int, block: int, keys: np.ndarray, n: np.ndarray, bits: int
 
 
 def _counts(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Per order and bucket: keys and training counts. 1-grams go block by block, with all words of
-    the block, those that training lacks at 0; longer ones are summed over many blocks first."""
-    held: dict[int, list[np.ndarray]] = {2: [], 3: []}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for order, parts in held.items():
-            if parts:  # hashes of n-grams need no more than 40 bits
-                yield _bucketed(order, -1, *_summed(np.concatenate(parts) >> U64(24)), bits)
-                parts.clear()
-
+    """Per block, order and bucket: all keys and their training counts, 0 where only held-out texts have them."""
     for b in batches:
         for row in _rows(b):
             x = Block(row)
-            places = x.place[x.trained]
-            starts = np.concatenate([[0], x.place[x.at[1:-1]] - 2])[~x.held] + 1
-            one = np.bincount(x.seq[x.trained], minlength=len(x.keys)).astype(np.int64)
-            yield _bucketed(1, row["block"], *_summed(np.concatenate([x.keys, [_BOS]]), np.concatenate([one, [len(starts)]])), bits)
-            held[2] += [x.two[places], x.two[starts]]
-            held[3].append(x.three[places])
-            if sum(map(len, held[3])) >= GATHER:
-                yield from flush()
-    yield from flush()
+            for order in (1, 2, 3):
+                keys, at = x.grams(order)
+                yield _bucketed(order, row["block"], keys, np.bincount(at[x.learned[: len(at)]], minlength=len(keys)), bits)
 
 
-_MERGED = "order int, bucket int, block long, total long, kinds long, reach array<long>, keys binary, counts binary"
+_MERGED = "order int, bucket int, block long, total long, kinds long, levels binary, counts binary"
 
 
 def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's total counts (order and bucket), and for 1-grams each block's answer (order 0)."""
+    """A bucket's answers to each block: what its slice of the filter says of the block's keys, and
+    for 1-grams the exact counts. Also the bucket's number of training tokens and words (block -1)."""
     order, bucket = int(pdf["order"].iloc[0]), int(pdf["bucket"].iloc[0])
-    keys = [np.cumsum(unplanes(k, U64), dtype=U64) for k in pdf["keys"]]
-    counts = [unplanes(c, np.uint32).astype(np.int64) for c in pdf["counts"]]
-    all_keys, all_counts = _summed(np.concatenate(keys), np.concatenate(counts))
-    out = []
+    parts = [np.cumsum(unplanes(k, U64), dtype=U64) for k in pdf["keys"]]
+    ends, keys = np.cumsum([len(k) for k in parts])[:-1], np.concatenate(parts)
+    del parts
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    which = np.empty(len(by), np.int64)
+    which[by] = np.cumsum(new) - 1
+    counts = np.concatenate([unplanes(c, np.uint32) for c in pdf["counts"]])[by].astype(np.int64)
+    keys, counts = keys[new], np.add.reduceat(counts, np.flatnonzero(new))
+    f = _plan_filter(counts, order)
+    f.data = f.fill(keys, counts)
+    said = (f.levels(keys) + 1).astype(np.uint8)
+    out = [(order, bucket, int(block), 0, 0, said[own].tobytes(), planes(counts[own].astype(U64)) if order == 1 else b"") for block, own in zip(pdf["block"], np.split(which, ends))]
     if order == 1:
-        for block, k in zip(pdf["block"], keys):
-            out.append((0, bucket, int(block), 0, 0, [], b"", planes(all_counts[np.searchsorted(all_keys, k)].astype(U64))))
-    real = all_counts[all_keys != _BOS] if order == 1 else all_counts
-    often = all_counts >= (1 if order == 1 else 2)
-    ranked = np.sort(all_counts[often])
-    reach = (len(ranked) - np.searchsorted(ranked, LEVELS)).tolist()
-    out.append((order, bucket, -1, int(real.sum()), int((real > 0).sum()), reach, planes(np.diff(all_keys[often], prepend=U64(0))), planes(all_counts[often].astype(U64))))
+        real = counts[keys != _BOS]
+        out.append((order, bucket, -1, int(real.sum()), int((real > 0).sum()), b"", b""))
     return pd.DataFrame(out, columns=[x.split()[0] for x in _MERGED.split(", ")])
 
 
@@ -193,9 +185,9 @@ class Filter:
                 on[self.places(own, level, probe).astype(np.int64)] = True
         return np.packbits(on, bitorder="little")
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, 0 for what the filter lacks."""
-        base = (keys >> U64(self.width - self.bits)) << U64(self.slice_bits)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level that each key reaches, -1 for what the filter lacks."""
+        base = (keys >> U64(self.width - self.bits - 1) >> U64(1)) << U64(self.slice_bits)
         reached = np.full(len(keys), -1)
         live = np.arange(len(keys))
         for level in range(self.first, len(LEVELS)):
@@ -205,48 +197,77 @@ class Filter:
             if not len(live):
                 break
             reached[live] = level
-        return np.where(reached < 0, 0, ESTIMATES[reached])
+        return reached
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts, 0 for what the filter lacks."""
+        return SAID[self.levels(keys) + 1]
 
 
 #: What a level stands for: the middle of the counts that end there.
 ESTIMATES = np.append((LEVELS[:-1] + LEVELS[1:] - 1) // 2, LEVELS[-1])
+#: The same by what is passed on: 0 for none, and the level after that.
+SAID = np.append(0, ESTIMATES)
 
 
-def _plan_filter(reach: np.ndarray, order: int, bits: int) -> Filter:
-    """Size and least level of an order's filter, by how many n-grams reach each level."""
-    entries = reach[::-1].cumsum()[::-1]  # in all levels from one on
+def _plan_filter(counts: np.ndarray, order: int) -> Filter:
+    """A filter for n-grams of these counts, an entry for each level that each of them reaches."""
     first = 0 if order == 1 else int(np.searchsorted(LEVELS, 2))
-    while first < len(LEVELS) - 1 and entries[first] * ENTRY_BITS > MAX_BITS:
-        first += 1
-    size = max(1 << 16, min(MAX_BITS, 1 << int(max(1, entries[first] * ENTRY_BITS - 1)).bit_length()))
-    return Filter(bits, 64 if order == 1 else 40, first, max(3, size.bit_length() - 1 - bits))
+    entries = int(np.maximum(np.searchsorted(LEVELS, counts, "right") - first, 0).sum())
+    return Filter(0, 64 if order == 1 else 40, first, max(6, (entries * ENTRY_BITS - 1).bit_length()))
 
 
 class Model:
-    """Filters, totals and interpolation weights; ``sent`` broadcasts hold the filters' bits."""
+    """Totals and interpolation weights."""
 
-    def __init__(self, filters: list[Filter], tokens: int, kinds: int):
-        self.filters, self.tokens, self.kinds = filters, tokens, kinds
+    def __init__(self, tokens: int, kinds: int):
+        self.tokens, self.kinds = tokens, kinds
         self.mix2 = self.mix3 = np.full(64, 0.5)
 
-    def raw(self, x: Block) -> tuple[np.ndarray, ...]:
-        """Quantised counts for each token: w, v, vw, uv, uvw."""
-        one, two, three = self.filters
-        c1 = one.counts(np.concatenate([x.keys, [_BOS]]))
-        full = np.full(len(x.seq) + 2 * len(x.size), c1[-1])
-        full[x.place] = c1[x.seq]
-        c2 = two.counts(x.two >> U64(24))
-        c3 = three.counts((x.three >> U64(24))[x.place])
-        return full[x.place], full[x.place - 1], c2[x.place], c2[x.place - 1], c3
-
     def p1(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.1) / (self.tokens + 0.1 * (self.kinds + 1))
 
-    def log10(self, x: Block) -> np.ndarray:
-        w, v, vw, uv, uvw = self.raw(x)
+    def log10(self, counts: tuple[np.ndarray, ...]) -> np.ndarray:
+        w, v, vw, uv, uvw = counts
         return np.log10(_mixed(self.p1(w), vw, v, self.mix2, uvw, uv, self.mix3))
 
 
+_SEEN = "ids array<long>, held array<boolean>, size array<long>, known array<long>, base array<double>, one binary, two binary, three binary"
+
+
+def _answered(own: pd.DataFrame, answers: pd.DataFrame, model: Model) -> pd.DataFrame:
+    """A block's texts with their base scores and the levels of its n-grams: 1- and 2-grams at ``both``, 3-grams at tokens."""
+    x, answers = Block(own.iloc[0]), answers.sort_values("bucket")
+    said = {}
+    for order in (1, 2, 3):
+        of = answers[answers["order"] == order]
+        levels, at = np.frombuffer(b"".join(of["levels"]), np.uint8), x.grams(order)[1]
+        said[order] = levels[at]
+        if order == 1:
+            exact = np.concatenate([unplanes(c, U64) for c in of["counts"]]).astype(float)[at[: len(x.seq)]]
+    at = x.at[:-1]
+    return pd.DataFrame({"ids": [x.ids], "held": [x.held.tolist()], "size": [x.size.tolist()], "known": [np.add.reduceat((exact > 0).astype(np.int64), at).tolist()], "base": [np.add.reduceat(np.log10(model.p1(exact)), at).tolist()], "one": [said[1].tobytes()], "two": [said[2].tobytes()], "three": [said[3].tobytes()]})
+
+
+class Seen:
+    """An answered block: quantised counts for each token."""
+
+    def __init__(self, row):
+        self.size = np.array(row["size"], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.trained = np.repeat(~np.array(row["held"], bool), self.size)
+        one, two, three = (SAID[np.frombuffer(row[x], np.uint8)] for x in ("one", "two", "three"))
+        n = len(self.trained)
+        #: w, v, vw, uv, uvw
+        self.counts = one[:n], self._before(one), two[:n], self._before(two), three
+
+    def _before(self, c: np.ndarray) -> np.ndarray:
+        """For each token what the one before has; at a text's first one, the mark."""
+        out = np.concatenate([c[:1], c[: len(self.trained) - 1]])
+        out[self.at] = c[len(self.trained) :]
+        return out
+
+
 def _class(c: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(c, 0) + 1).astype(np.int64)
 
@@ -284,58 +305,34 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     blocks = settle(docs.mapInArrow(_encode, _ENCODED), "lm-blocks")
     bits = min(14, max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     merged = settle(blocks.mapInArrow(lambda it: _counts(it, bits), "order int, bucket int, block long, keys binary, counts binary").groupBy("order", "bucket").applyInPandas(_merge, _MERGED), "lm-counts")
-    grams = merged.filter("order > 0")
-    reach = {o: np.zeros(len(LEVELS), np.int64) for o in (1, 2, 3)}
-    tokens = kinds = 0
-    for r in grams.groupBy("order").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds"), F.array(*[F.sum(F.col("reach")[i]) for i in range(len(LEVELS))]).alias("reach")).collect():
-        reach[r["order"]] = np.array(r["reach"], np.int64)
-        if r["order"] == 1:
-            tokens, kinds = r["total"], r["kinds"]
-    filters = [_plan_filter(reach[o], o, bits) for o in (1, 2, 3)]
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in _rows(b):
-                f = filters[r["order"] - 1]
-                raw = f.fill(np.cumsum(unplanes(r["keys"], U64), dtype=U64), unplanes(r["counts"], U64).astype(np.int64))
-                yield pa.RecordBatch.from_pydict({"order": [r["order"]], "bucket": [r["bucket"]], "bytes": [raw.tobytes()]}, schema=pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("bytes", pa.binary())]))
-
-    data = [np.zeros((1 << bits, max(1, (1 << f.slice_bits) // 8)), np.uint8) for f in filters]
-    for r in grams.select("order", "bucket", "keys", "counts").mapInArrow(fill, "order int, bucket int, bytes binary").collect():  # 3 * MAX_BITS / 8 bytes at most
-        data[r["order"] - 1][r["bucket"]] = np.frombuffer(r["bytes"], np.uint8)
-    for f, d in zip(filters, data):
-        f.data = d.reshape(-1)
-    sent = spark.sparkContext.broadcast(Model(filters, tokens, kinds))
+    total = merged.filter("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    model = Model(total["tokens"], total["kinds"])
+    answers = merged.filter("block >= 0").select("block", "order", "bucket", "levels", "counts")
+    seen = settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda own, answers: _answered(own, answers, model), _SEEN), "lm-seen")
+    discard(blocks, merged)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
-                x = Block(row)
+                x = Seen(row)
                 at = np.flatnonzero(x.trained)
                 at = at[:: max(1, len(at) * 24 // FIT_TOKENS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[at].astype(np.int64)) for c in sent.value.raw(x)], ["w", "v", "vw", "uv", "uvw"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at].astype(np.int64)) for c in x.counts], ["w", "v", "vw", "uv", "uvw"])
 
-    seen = blocks.limit(24).mapInArrow(sample, "w long, v long, vw long, uv long, uvw long").limit(2 * FIT_TOKENS).toPandas()
-    weights = None
-    if len(seen):
-        less = lambda c: np.maximum(seen[c].to_numpy(float) - 1, 0)  # noqa: E731  without the token itself
-        p1 = sent.value.p1(less("w"))
+    some = seen.limit(24).mapInArrow(sample, "w long, v long, vw long, uv long, uvw long").limit(2 * FIT_TOKENS).toPandas()
+    if len(some):
+        less = lambda c: np.maximum(some[c].to_numpy(float) - 1, 0)  # noqa: E731  without the token itself
+        p1 = model.p1(less("w"))
         ok2, ok3 = less("v") > 0, less("uv") > 0
         mix2 = _fit(_ratio(less("vw"), less("v"))[ok2], p1[ok2], _class(less("v"))[ok2])
         p2 = np.where(ok2, mix2[_class(less("v"))] * _ratio(less("vw"), less("v")) + (1 - mix2[_class(less("v"))]) * p1, p1)
-        weights = mix2, _fit(_ratio(less("uvw"), less("uv"))[ok3], p2[ok3], _class(less("uv"))[ok3])
-
-    def finish(key, own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        x, model = Block(own.iloc[0]), sent.value
-        if weights:
-            model.mix2, model.mix3 = weights
-        answers = answers.sort_values("bucket")
-        exact = np.concatenate([unplanes(c, U64) for c in answers["counts"]]).astype(float)
-        # answers are for the block's words and the mark before texts, in the order of their keys
-        exact = np.delete(exact, np.searchsorted(x.keys, _BOS))
-        known, base = exact[x.seq] > 0, np.log10((exact + 0.1) / (model.tokens + 0.1 * (model.kinds + 1)))[x.seq]
-        at = x.at[:-1]
-        return pd.DataFrame({"doc_id": pd.array(x.ids, "Int64"), "held_out": x.held, "n_tokens": x.size, "n_known": np.add.reduceat(known.astype(np.int64), at), "train_tokens": model.tokens, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(model.log10(x), at)})
-
-    answers = merged.filter("order = 0").select("block", "bucket", "counts")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        model.mix2, model.mix3 = mix2, _fit(_ratio(less("uvw"), less("uv"))[ok3], p2[ok3], _class(less("uv"))[ok3])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in _rows(b):
+                x = Seen(row)
+                out = {"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(row["size"], pa.int64()), "n_known": pa.array(row["known"], pa.int64()), "train_tokens": pa.array([model.tokens] * len(x.size), pa.int64()), "base_score": pa.array(row["base"], pa.float64())}
+                yield pa.RecordBatch.from_pydict({**out, "score": pa.array(np.add.reduceat(model.log10(x.counts), x.at), pa.float64())})
+
+    return seen.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -151,6 +151,21 @@ def test_filter_has_no_false_negatives():
     assert (f.counts(rnd.integers(0, 1 << 40, 5000, dtype=np.uint64)) > 0).mean() < 0.1
 
 
+def test_filter_size_follows_its_entries():
+    counts = np.full(20_000_000, 2)  # 8 bits an entry are more than 2^27
+    f = lm._plan_filter(counts, 3)
+    assert lm.LEVELS[f.first] <= 2 and 1 << f.slice_bits >= lm.ENTRY_BITS * len(counts)
+
+
+def test_lm_keeps_all_ngrams_at_any_size(docs, monkeypatch):
+    held = F.col("doc_id") % 10 == 0
+    rows = docs(texts(5, 60)).repartition(3)
+    want = {r["doc_id"]: r["score"] for r in lm.score(rows, held).collect()}
+    monkeypatch.setattr(lm, "MAX_BITS", 1 << 10, raising=False)  # as an input that large would do, if there were a greatest size
+    got = {r["doc_id"]: r["score"] for r in lm.score(rows, held).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_beats_its_base(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     r = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
