@@ -4,8 +4,8 @@ Counts of 1-, 2- and 3-grams are summed over all training documents. A filter ho
 once for every count threshold that it reaches; a reader probes rising thresholds until one is
 absent, which gives the quantised count. A filter is in slices by the keys' high bits. The reducer
 of a slice sizes it by the entries counted there, fills it and probes it for the blocks of
-documents, so no filter is sent anywhere and none has a greatest size; 1-grams are held from one
-occurrence on and others from two. Probabilities are interpolated,
+documents, so no filter is sent anywhere and none has a greatest size; n-grams of all orders are
+held from one occurrence on. Probabilities are interpolated,
 
     p(w | u v) = x r3 + (1 - x) (y r2 + (1 - y) p1),    r3 = c(uvw) / c(uv),  r2 = c(vw) / c(v),
 
@@ -212,9 +212,8 @@ SAID = np.append(0, ESTIMATES)
 
 def _plan_filter(counts: np.ndarray, order: int) -> Filter:
     """A filter for n-grams of these counts, an entry for each level that each of them reaches."""
-    first = 0 if order == 1 else int(np.searchsorted(LEVELS, 2))
-    entries = int(np.maximum(np.searchsorted(LEVELS, counts, "right") - first, 0).sum())
-    return Filter(0, 64 if order == 1 else 40, first, max(6, (entries * ENTRY_BITS - 1).bit_length()))
+    entries = int(np.searchsorted(LEVELS, counts, "right").sum())
+    return Filter(0, 64 if order == 1 else 40, 0, max(6, (entries * ENTRY_BITS - 1).bit_length()))
 
 
 class Model:

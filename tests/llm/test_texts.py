@@ -166,6 +166,16 @@ def test_lm_keeps_all_ngrams_at_any_size(docs, monkeypatch):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_lm_knows_ngrams_that_occur_once(docs):
+    rnd = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rnd.integers(0, 500, 30))) for i in range(120)]
+    twice = [(1000 + i, x) for i, x in rows[:60]]  # so that longer n-grams get weight
+    copies = [(2000 + i, x) for i, x in rows[60:]]
+    mixed = [(3000 + i, " ".join(rnd.permutation(x.split()))) for i, x in rows[60:]]
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs(rows + twice + copies + mixed), F.col("doc_id") >= 2000).collect()}
+    assert all(got[2000 + i] > got[3000 + i] + 20 for i in range(60, 120))
+
+
 def test_lm_beats_its_base(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     r = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
