@@ -9,8 +9,9 @@ held from one occurrence on. Probabilities are interpolated,
 
     p(w | u v) = x r3 + (1 - x) (y r2 + (1 - y) p1),    r3 = c(uvw) / c(uv),  r2 = c(vw) / c(v),
 
-where x and y depend on how common the context is; they are fitted by leaving one out on a bounded
-sample of training tokens. The base score beside it uses exact counts. Both kinds of counts come
+where x and y depend on how common the context is; they are fitted by leaving one out on all
+training tokens: what the fit needs of them is how often each ratio of the two sides occurs in each
+class of contexts, in steps of 1/128 octave, which is summed over all blocks. The base score beside it uses exact counts. Both kinds of counts come
 back from the reducers to the documents, not by broadcast.
 """
 
@@ -34,8 +35,8 @@ FLUSH = 80_000
 ENTRY_BITS, PROBES = 8, 3
 #: Count thresholds: small counts exactly, then in steps of 30 %.
 LEVELS = np.unique(np.ceil(1.3 ** np.arange(90)).astype(np.int64))
-#: Training tokens that the interpolation is fitted on at most.
-FIT_TOKENS = 200_000
+#: Steps of an octave, and octaves to either side, of the ratios that the interpolation is fitted on; no ratio of counts goes beyond.
+STEPS, OCTAVES = 128, 48
 _END, _BOS = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
@@ -280,18 +281,53 @@ def _mixed(p1, vw, v, mix2, uvw, uv, mix3):
     return x * _ratio(uvw, uv) + (1 - x) * (y * _ratio(vw, v) + (1 - y) * p1)
 
 
-def _fit(r: np.ndarray, low: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """For each class the share of r in r, low that makes the sample most probable."""
+def _steps(r: np.ndarray, low: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where tokens belong: their class and the step of r / low (0 if r is 0)."""
+    with np.errstate(divide="ignore"):
+        at = np.floor((np.log2(r) - np.log2(low) + OCTAVES) * STEPS) + 1
+    return kind * (2 * OCTAVES * STEPS + 1) + np.clip(at, 0, 2 * OCTAVES * STEPS).astype(np.int64)
+
+
+def _fit(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each class the share of r in r, low that makes the tokens most probable, by EM; ``n`` tokens at ``at``."""
     out = np.full(64, 0.1)
+    kind, step = np.divmod(at, 2 * OCTAVES * STEPS + 1)
+    ratio = np.where(step > 0, np.exp2((step - 0.5) / STEPS - OCTAVES), 0)
     for k in np.unique(kind):
-        a, b, m = r[kind == k], low[kind == k], 0.5
+        a, share, m = ratio[kind == k], n[kind == k] / n[kind == k].sum(), 0.5
         for _ in range(20):
-            m = float(((m * a + 1e-300) / (m * a + (1 - m) * b + 1e-300)).mean())
+            m = float((share * (m * a / (m * a + 1 - m))).sum())
             m = min(max(m, 1e-4), 0.9999)
         out[k] = m
     return out
 
 
+def _weights(seen: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of 2-grams and, by those, of 3-grams for each class of contexts, from all training tokens."""
+    size, mix2 = 64 * (2 * OCTAVES * STEPS + 1), None
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for b in batches:
+            for row in _rows(b):
+                x = Seen(row)
+                w, v, vw, uv, uvw = (np.maximum(c[x.trained] - 1, 0) for c in x.counts)  # without the token itself
+                low, r, of = model.p1(w), vw, v
+                if mix2 is not None:
+                    low, r, of = _mixed(low, vw, v, mix2, 0, 0, mix2), uvw, uv
+                ok = of > 0
+                n += np.bincount(_steps(_ratio(r, of)[ok], low[ok], _class(of[ok])), minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["at", "n"])
+
+    def fitted() -> np.ndarray:
+        found = seen.mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at")  # as many rows as there are steps at most
+        return _fit(found["at"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+
+    mix2 = fitted()
+    return mix2, fitted()
+
+
 def score(documents: DataFrame, held_out: Column) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -310,22 +346,7 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     seen = settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda own, answers: _answered(own, answers, model), _SEEN), "lm-seen")
     discard(blocks, merged)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in _rows(b):
-                x = Seen(row)
-                at = np.flatnonzero(x.trained)
-                at = at[:: max(1, len(at) * 24 // FIT_TOKENS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c[at].astype(np.int64)) for c in x.counts], ["w", "v", "vw", "uv", "uvw"])
-
-    some = seen.limit(24).mapInArrow(sample, "w long, v long, vw long, uv long, uvw long").limit(2 * FIT_TOKENS).toPandas()
-    if len(some):
-        less = lambda c: np.maximum(some[c].to_numpy(float) - 1, 0)  # noqa: E731  without the token itself
-        p1 = model.p1(less("w"))
-        ok2, ok3 = less("v") > 0, less("uv") > 0
-        mix2 = _fit(_ratio(less("vw"), less("v"))[ok2], p1[ok2], _class(less("v"))[ok2])
-        p2 = np.where(ok2, mix2[_class(less("v"))] * _ratio(less("vw"), less("v")) + (1 - mix2[_class(less("v"))]) * p1, p1)
-        model.mix2, model.mix3 = mix2, _fit(_ratio(less("uvw"), less("uv"))[ok3], p2[ok3], _class(less("uv"))[ok3])
+    model.mix2, model.mix3 = _weights(seen, model)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -176,6 +176,29 @@ def test_lm_knows_ngrams_that_occur_once(docs):
     assert all(got[2000 + i] > got[3000 + i] + 20 for i in range(60, 120))
 
 
+def test_lm_fit_takes_all_blocks(docs):
+    rnd = np.random.default_rng(4)
+    plain = [" ".join(f"w{x}" for x in rnd.integers(0, 300, 40)) for _ in range(300)]
+    alike = [" ".join(f"w{(x + j) % 300}" for j in range(40)) for x in rnd.integers(0, 300, 300)]
+    # a block for each of 60 partitions, with the texts of one kind first, then of the other
+    got = [
+        {r["doc_id"]: r["score"] for r in lm.score(docs(rows).repartitionByRange(60, "doc_id"), F.lit(False)).collect()}
+        for rows in ([(i, x) for i, x in enumerate(plain + alike)], [(i, x) for i, x in enumerate(alike + plain)])
+    ]
+    assert [got[0][i] for i in range(600)] == pytest.approx([got[1][(i + 300) % 600] for i in range(600)], rel=1e-9)
+
+
+def test_lm_fit_is_that_of_the_tokens():
+    rnd = np.random.default_rng(5)
+    r, low, kind = rnd.random(20_000) * (rnd.random(20_000) < 0.6), rnd.random(20_000) ** 4 + 1e-9, rnd.integers(0, 5, 20_000)
+    got = lm._fit(*np.unique(lm._steps(r, low, kind), return_counts=True))
+    for k in range(5):
+        a, b, m = r[kind == k], low[kind == k], 0.5
+        for _ in range(20):
+            m = (m * a / (m * a + (1 - m) * b)).mean()
+        assert got[k] == pytest.approx(m, abs=1e-4)
+
+
 def test_lm_beats_its_base(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     r = lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
