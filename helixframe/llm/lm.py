@@ -328,6 +328,22 @@ def _weights(seen: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return mix2, fitted()
 
 
+#: What tables are settled with: shuffle files go when the table is written, and levels, which are mostly small, compress further.
+_SETTLE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
+
+
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _SETTLE}
+    try:
+        for k, v in _SETTLE.items():
+            conf.set(k, v)
+        return settle(df, name)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 def score(documents: DataFrame, held_out: Column) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -337,13 +353,13 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col("text").cast("string").alias("text"))
-    blocks = settle(docs.mapInArrow(_encode, _ENCODED), "lm-blocks")
+    blocks = _settled(docs.mapInArrow(_encode, _ENCODED), "lm-blocks")
     bits = min(14, max(6, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
-    merged = settle(blocks.mapInArrow(lambda it: _counts(it, bits), "order int, bucket int, block long, keys binary, counts binary").groupBy("order", "bucket").applyInPandas(_merge, _MERGED), "lm-counts")
+    merged = _settled(blocks.mapInArrow(lambda it: _counts(it, bits), "order int, bucket int, block long, keys binary, counts binary").groupBy("order", "bucket").applyInPandas(_merge, _MERGED), "lm-counts")
     total = merged.filter("block = -1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
     model = Model(total["tokens"], total["kinds"])
     answers = merged.filter("block >= 0").select("block", "order", "bucket", "levels", "counts")
-    seen = settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda own, answers: _answered(own, answers, model), _SEEN), "lm-seen")
+    seen = _settled(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda own, answers: _answered(own, answers, model), _SEEN), "lm-seen")
     discard(blocks, merged)
 
     model.mix2, model.mix3 = _weights(seen, model)
