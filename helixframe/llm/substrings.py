@@ -1,8 +1,10 @@
 """Substring dedup: lines are cut into units, unit digests are grouped over all documents, the
 occurrence of smallest rank stays and the others are removed, with their original offsets.
 
-A unit is a line, cut further after words that end in ``.``, ``!`` or ``?`` and after words whose
-hash says so (one in 8): passages that begin or end inside a line still share their inner units.
+A unit is a line, cut further after words that end in ``.``, ``!`` or ``?`` and where a hash of the
+last three words is the least of 15 in a row (one word in 8, in runs of a few words more often). Every
+passage of 17 words has such a cut, which depends on its words alone: passages that begin or end
+inside a line still share their inner units, whatever their words are.
 Units are compared lower-cased (A-Z) with white space collapsed. Only runs of repeated units with
 ``min_words`` words in all are removed, so that short common lines stay.
 """
@@ -16,16 +18,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, slices
+from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, slices, window_hashes
 from helixframe.runtime import settle
 
 #: place: the unit's number and, lowest, whether its text has had it before; words, chars: from (high half) and to.
 _UNITS = "d1 long, d2 long, doc_id long, _text long, place long, words long, chars long"
+#: Words that a cut's hash is of, and places of which one is a cut at least.
+NEAR, AMONG = 3, 15
 #: Bits of the map of repeated digests: 16 MB, whatever the input. It only saves shuffling; a full one is no error.
 MAP_BITS = 27
 _NAMES = [x.split()[0] for x in _UNITS.split(", ")]
 
 
+def _cuts(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Words after which a text is cut by their hashes: of each AMONG places in a row in one text, the last of the least."""
+    x, n = window_hashes(h, NEAR), len(h) - NEAR - AMONG + 2
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    at, least = np.arange(n) + AMONG - 1, x[AMONG - 1 :]
+    for back in range(AMONG - 2, -1, -1):
+        less = x[back : back + n] < least
+        at, least = np.where(less, np.arange(n) + back, at), np.where(less, x[back : back + n], least)
+    return np.unique(at[owner[:n] == owner[NEAR + AMONG - 2 :]]) + NEAR - 1
+
+
 def _units(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[pa.RecordBatch]:
     """Units of each text; with a bit map, those whose digest it may hold."""
     bits = None if sent is None else np.frombuffer(sent.value, U64)
@@ -37,7 +53,8 @@ def _units(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[pa.RecordBa
         h, data = w.hashes(), w.data
         last = data[w.stop - 1]
         gap_nl = np.concatenate([[0], np.cumsum(data == 10)])
-        cut = (last == 46) | (last == 33) | (last == 63) | (mix64(h) % U64(8) == 0)
+        cut = (last == 46) | (last == 33) | (last == 63)
+        cut[_cuts(h, w.owner())] = True
         cut[:-1] |= gap_nl[w.start[1:]] > gap_nl[w.stop[:-1]]
         ends = w.ptr[1:][w.ptr[1:] > w.ptr[:-1]]
         cut[ends - 1] = True  # a text's last word

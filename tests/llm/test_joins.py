@@ -139,6 +139,20 @@ def test_spans_brute(docs):
         assert cleaned[d]["text"] == x and cleaned[d]["n_chars"] == len(x)
 
 
+def test_passages_of_few_words_are_found(docs):
+    rnd = random.Random(7)
+    rows = []
+    for i in range(40):  # a passage of one to three words of its own, over and over, inside other words of one line
+        few = [f"p{i}x{j}" for j in range(1 + i % 3)]
+        passage = rnd.choices(few, k=200)
+        for d in (i, 1000 + i):
+            rows.append((d, " ".join([f"a{d}"] + passage + [f"z{d}"])))
+    got = collections.Counter()
+    for r in substrings.repeated_spans(docs(rows), 20).collect():
+        got[r["doc_id"]] += r["n_words"]
+    assert all(got[1000 + i] >= 165 for i in range(40))
+
+
 def test_spans_edges(odd, empty):
     assert substrings.repeated_spans(empty).count() == 0
     out = substrings.remove_repeats(odd)
