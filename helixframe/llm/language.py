@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.kept import keep
 from helixframe.llm.wordbytes import slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -108,7 +109,7 @@ class Lattice:
         by = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(by):
-            end = min(at + 20_000, len(by))
+            end = min(at + 5_000, len(by))
             wide = len(words[by[at]]) * 3 // 2 + 4  # chunks of like lengths
             while end > at + 1 and len(words[by[end - 1]]) > wide:
                 end = at + max(1, (end - at) // 2)
@@ -226,15 +227,9 @@ class _Scorer:
         return total, size > 0
 
 
-_SCORERS: dict[int, _Scorer] = {}
-
-
 def _predictions(batches: Iterator[pa.RecordBatch], sent, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
-    if sent.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[sent.id] = _Scorer(sent.value)
-    scorer = _SCORERS[sent.id]
-    for s in slices(batches, text):
+    scorer = keep(("language", sent.id), lambda: _Scorer(sent.value))
+    for s in slices(batches, text, keeping=True):
         total, has = scorer.totals(s.column(s.schema.get_field_index(text)).to_pylist())
         if not scorer.model.langs:
             yield s, ["und"] * len(s), np.zeros(len(s))

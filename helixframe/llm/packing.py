@@ -7,7 +7,6 @@ depends on ``capacity``, never on the number of documents.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -21,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from helixframe.llm.kept import keep
 from helixframe.runtime import settle
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_part", pa.int32()), ("_nth", pa.int64())])
 #: Entries in each of the two generations of a worker's word memo.
-MEMO = 600_000
+MEMO = 200_000
 #: Longer words are encoded each time.
 MEMO_WORD = 64
 #: Texts that are encoded together.
@@ -101,13 +101,10 @@ class Encoder:
         return [b"".join(found[i:j]) for i, j in zip(at, at[1:])]
 
 
-_encoder = functools.lru_cache(maxsize=1)(Encoder)
-
-
 def _encode(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     part, nth = TaskContext.get().partitionId(), {}
     end = np.array([end_id], "<u4").tobytes()
-    encoder = _encoder(path)
+    encoder = keep(("packing", path), lambda: Encoder(path))
     for whole in batches:
         for at in range(0, len(whole), TOGETHER):
             b = whole.slice(at, TOGETHER)

@@ -12,6 +12,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from helixframe.llm.kept import drop
+
 U64 = np.uint64
 
 
@@ -111,8 +113,11 @@ def sequence_hash(h: np.ndarray) -> np.ndarray:
         return mix64(np.array([(h * _ODD[: len(h)]).sum() + U64(7919 * len(h))], U64))
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that a slice holds at most ``most`` text bytes, or one text."""
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 1 << 20, keeping: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts record batches so that a slice holds at most ``most`` text bytes, or one text. Unless
+    the caller is ``keeping`` something, what the worker kept for other operators goes."""
+    if not keeping:
+        drop()
     for b in batches:
         col = b.column(b.schema.get_field_index(text)).cast(pa.large_string())
         size = np.diff(np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]) if len(col) else np.zeros(0, np.int64)
