@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -28,30 +29,65 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
+    """The folder in spark.checkpoint.dir. Only a session on one machine (tests) may leave it unset,
+    and gets a temporary one."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "helixframe-checkpoints"))
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        named = "file://" + os.path.join(tempfile.gettempdir(), "helixframe-checkpoints")
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Folders made by this driver that are not deleted yet.
+_made: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it goes when the driver ends, if it isn't discarded before."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration() if spark.sparkContext._jsc else jvm.org.apache.hadoop.conf.Configuration()
+    at.getFileSystem(conf).delete(at, True)
+    _made.pop(path, None)
+
+
+@atexit.register
+def _tidy() -> None:
+    """What results that are read lazily still needed goes with the driver."""
+    for path, spark in list(_made.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _delete(spark, path)
+
+
+#: How tables are settled: shuffle files go when the table is written, and columns of small numbers compress further.
+_SETTLE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: later steps don't depend on the
     executors that made it."""
-    spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # shuffle files of what is written now go as soon as nothing refers to them
-    out = spark.read.schema(schema).parquet(path)
+    spark = df.sparkSession
+    path, before = scratch(spark, name), {k: spark.conf.get(k, None) for k in _SETTLE}
+    try:
+        for k, v in _SETTLE.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
     return out
 
@@ -59,6 +95,4 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes settled tables that nothing reads any more."""
     for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df._settled)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._settled)
