@@ -6,7 +6,8 @@ A map has 2 ** BITS bits (16 MB) whatever the input; a fuller one only lets more
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BITS = 27
@@ -27,3 +28,14 @@ def may_hold(raw: bytes, values: np.ndarray) -> np.ndarray:
     bits = np.frombuffer(raw, np.uint64)
     at = values.view(np.uint64) >> np.uint64(64 - BITS)
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def maybe(spark: SparkSession, raw: bytes, value: Column) -> Column:
+    """Whether the map may hold a value (a hash): only that column goes through Python."""
+    sent = spark.sparkContext.broadcast(raw)
+
+    @F.pandas_udf("boolean")
+    def held(v: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(sent.value, v.to_numpy()))
+
+    return held(value)

@@ -27,20 +27,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.bitmap import bitmap, may_hold
+from helixframe.llm.bitmap import bitmap, may_hold, maybe
 from helixframe.llm.components import components
+from helixframe.llm.hot import join_hot
 from helixframe.llm.shingles import class_table, digest, distinct, keys_of, shingle_hashes
 from helixframe.llm.wordbytes import U64, slices
 from helixframe.runtime import discard, settle
 
 #: Regions up to this many members are joined at once.
 SMALL = 16
-#: Document pivots of a larger cell in each round, and documents of a block of a leaf.
-PIVOTS, BLOCK = 4, 256
+#: Document pivots of a larger cell in each round, documents of a block of a leaf, and members of a
+#: cell that meet a copy of its pivots' sets.
+PIVOTS, BLOCK, SHARE = 4, 256, 4096
+#: Rounds of pivots; what is left then is compared as leaves.
+DEPTH = 12
 _NULL_ID = (1 << 63) - 1
 
 
@@ -61,22 +64,16 @@ def _sigs(batches: Iterator[pa.RecordBatch], sent, k: int, per_cent: int) -> Ite
         yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "node", "n", "sigs"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    flat = np.zeros(1 << 24, np.uint8)
-    for s in slices(batches):
-        h, ptr = shingle_hashes(s.column("text"), k)
-        keys = keys_of(h, flat)
-        sets = [distinct(keys[ptr[i] : ptr[i + 1]]) for i in range(len(s))]
-        at = np.concatenate([[0], np.cumsum([len(q) for q in sets])]).astype(np.int32)
-        names = pa.array([digest(q) if len(q) else 0 for q in sets], pa.int64())
-        out = pa.RecordBatch.from_arrays([s.column("node"), names, pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "found", "keys"])
-        yield out.filter(pa.compute.equal(out.column("node"), out.column("found"))).select(["node", "keys"])
-
-
-def _held(batches: Iterator[pa.RecordBatch], sent, column: str) -> Iterator[pa.RecordBatch]:
-    """Rows whose value a bit map may hold."""
-    for b in batches:
-        yield b.filter(pa.array(may_hold(sent.value, b.column(column).to_numpy())))
+def _sets(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
+    """The sets of documents whose hash a bit map may hold, with their nodes."""
+    for whole in batches:
+        for s in slices([whole.filter(pa.array(may_hold(sent.value, whole.column("hash").to_numpy())))]):
+            h, ptr = shingle_hashes(s.column("text"), k)
+            h >>= U64(8)  # as keys_of with one class for all
+            sets = [distinct(h[ptr[i] : ptr[i + 1]]) for i in range(len(s))]
+            at = np.concatenate([[0], np.cumsum([len(q) for q in sets])]).astype(np.int32)
+            names = pa.array([digest(q) if len(q) else 0 for q in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([names, s.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "doc_id", "keys"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -130,14 +127,15 @@ class _Join:
         k, t = self.k, self.t
         rows = self.docs.mapInArrow(lambda it: _sigs(it, sent, k, t), "doc_id long, node long, n long, sigs array<long>")
         self.rows = settle(rows, "jaccard-documents")
-        self.nodes = settle(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "jaccard-nodes")
+        self.nodes = settle(self.rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sigs").alias("sigs")), "jaccard-nodes")
         sigs = self.nodes.select("node", "n", F.explode("sigs").alias("sig"))
         found = sigs.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).filter("c > 1")
         self.alike = alike = settle(found.groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).select("sig", "c", "times"), "jaccard-regions")
         # only shingles that some region has go into the shuffle
         held = self.spark.sparkContext.broadcast(bitmap(alike, F.shiftleft("sig", 8)))
         near = self.nodes.select("node", "n", "sigs").mapInArrow(lambda it: _near(it, held), "node long, n long, sigs array<long>").select("node", "n", F.explode("sigs").alias("sig"))
-        self.members = settle(near.join(alike, "sig"), "jaccard-members")
+        total = alike.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+        self.members = settle(join_hot(near, alike, "sig", "c", total, "node"), "jaccard-members")
 
     def small_pairs(self) -> DataFrame:
         m = self.members.filter(F.col("c") <= SMALL)
@@ -155,55 +153,85 @@ class _Join:
         """The sets of all documents that may yet be compared."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(self.members.filter(F.col("c") > SMALL).select("node")).distinct()
         names = settle(self.nodes.join(wanted, "node").select("node", F.col("doc").alias("doc_id")), "jaccard-wanted")
-        held = self.spark.sparkContext.broadcast(bitmap(names, F.xxhash64("doc_id")))
-        hashed = self.docs.withColumn("hash", F.xxhash64("doc_id"))
-        texts = hashed.mapInArrow(lambda it: _held(it, held, "hash"), hashed.schema).drop("hash").join(names, "doc_id").select("node", "text")
-        k = self.k
-        self.sets = settle(texts.mapInArrow(lambda it: _sets(it, k), "node long, keys array<long>").dropDuplicates(["node"]), "jaccard-sets")
+        held, k = self.spark.sparkContext.broadcast(bitmap(names, F.xxhash64("doc_id"))), self.k
+        found = self.docs.withColumn("hash", F.xxhash64("doc_id")).mapInArrow(lambda it: _sets(it, held, k), "node long, doc_id long, keys array<long>")
+        # rows that repeat an id and text have one set; joined and grouped by one shuffle at any size
+        own = ["doc_id", "node"]
+        self.sets = settle(found.join(names.hint("merge"), own).dropDuplicates(own).select("node", "keys"), "jaccard-sets")
+        discard(names)
+
+    def shared(self, a: str | Column, b: str | Column) -> Column:
+        """Jaccard distance of two sets of keys, and whether they are linked: exactly."""
+        both = F.size(F.array_intersect(a, b))
+        every = F.size(a) + F.size(b) - both
+        return F.struct((1 - both / every).alias("d"), (100 * both >= self.t * every).alias("linked"))
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with their distance, and whether they are linked: exactly."""
+        """Those of pairs (a, b) that are linked."""
         side = lambda x: self.sets.select(F.col("node").alias(x), F.col("keys").alias(f"k{x}"))
-        both = F.size(F.array_intersect("ka", "kb"))
-        every = F.size("ka") + F.size("kb") - F.col("both")
-        return pairs.join(side("b"), "b").join(side("a"), "a").withColumn("both", both).select("a", "b", (1 - F.col("both") / every).alias("d"), (100 * F.col("both") >= self.t * every).alias("linked"))
+        return pairs.join(side("b"), "b").join(side("a"), "a").filter(self.shared("ka", "kb")["linked"]).select("a", "b")
 
     def links(self) -> DataFrame:
-        """Links (a, b) that join every two nodes which any chain of links joins."""
+        """Links (a, b) that join every two nodes which any chain of links joins.
+
+        Each round compares what it can with pivots and hands the rest on; after DEPTH rounds what
+        is left is compared as leaves, so the search ends and stays exact.
+        """
         small = settle(self.small_pairs(), "jaccard-pairs")
         self.load_sets(small)
-        links = settle(self.measured(small).filter("linked").select("a", "b"), "jaccard-links")
+        links = settle(self.measured(small), "jaccard-links")
         radius = 1 - self.t / 100
         hot = self.members.filter(F.col("c") > SMALL)
-        weight = hot.groupBy("node").agg(F.sum("times").alias("h"))  # those in most regions lie in the middle of their copies
+        weight = settle(hot.groupBy("node").agg(F.sum("times").alias("h")), "jaccard-weights")  # those in most regions lie in the middle of their copies
         # regions whose middle is the same document are one cell
-        middle = hot.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("h", "node")).alias("p"))
-        cells = hot.join(middle, "sig").select(F.xxhash64("p", F.lit(0)).alias("cell"), "node", F.lit(None).cast("double").alias("at")).distinct()
-        kept: list[DataFrame] = [small]  # tables of this search
-        while True:
+        middle = settle(hot.join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("h", "node")).alias("p"), F.first("c").alias("c")), "jaccard-middles")
+        cells = join_hot(hot.select("sig", "node"), middle, "sig", "c", hot.count(), "node")
+        cells = settle(cells.select(F.xxhash64("p", F.lit(0)).alias("cell"), "node", F.lit(None).cast("double").alias("at")).distinct(), "jaccard-cells")
+        discard(small, middle)
+        for depth in range(DEPTH + 1):
             roots = components(links)
-            kept.append(roots)
-            cells = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(weight, "node")
-            picks = [F.max_by("node", F.struct("h", "node")).alias("p0"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)]]
-            split = cells.groupBy("cell").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.mode("root").alias("most"), *picks).filter("lo < hi").drop("lo", "hi")
-            cells = settle(cells.drop("h").join(split, "cell"), "jaccard-cells")
-            kept.append(cells)
+            mine = settle(cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(weight, "node"), "jaccard-cells")
+            discard(roots, cells)
+            split = settle(self.split(mine), "jaccard-splits")
+            cells = settle(join_hot(mine.drop("h"), split, "cell", "c", mine.count(), "node"), "jaccard-cells")
+            discard(mine)
             if cells.isEmpty():
+                discard(split, cells)
                 break
-            leaf = (F.col("c") <= BLOCK) | F.col("at").isNotNull()
+            leaf = (F.col("c") <= BLOCK) | F.col("at").isNotNull() | F.lit(depth == DEPTH)
+            arms = settle(self.arms(cells.filter(~leaf), split), "jaccard-arms")
             found = self.leaf_links(cells.filter(leaf), radius)
-            wide = cells.filter(~leaf).withColumn("ps", F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)])))
-            arms = wide.select(F.col("node").alias("a"), F.explode("ps").alias("b")).filter("a <> b").distinct()
-            dist = settle(self.measured(arms), "jaccard-distances")
-            kept += [dist, links]
-            links = settle(links.union(found).union(dist.filter("linked").select("a", "b")), "jaccard-links")
-            if wide.isEmpty():
+            close = arms.select(F.col("node").alias("a"), F.explode("arms").alias("x")).filter("x.linked and a <> x.p").select("a", F.col("x.p").alias("b"))
+            before, links = links, settle(links.union(found).union(close), "jaccard-links")
+            discard(before, split, cells)
+            if arms.isEmpty():
+                discard(arms)
                 break
-            cells = settle(self.next_cells(wide, dist, radius), "jaccard-cells")
-            kept.append(cells)
-        discard(*kept, self.sets, self.members, self.alike)
+            cells = self.next_cells(arms, radius)
+            discard(arms)
+        discard(weight, self.sets, self.members, self.alike)
         return links
 
+    def split(self, mine: DataFrame) -> DataFrame:
+        """Cells with members of several components: their size, largest component and pivots.
+        Counts go by (cell, component) first, so that no cell is gathered."""
+        least = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("x"), "node")).alias(f"m{i}") for i in range(1, PIVOTS)]
+        parts = mine.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max(F.struct("h", "node")).alias("m0"), *least)
+        picks = [F.max("m0")["node"].alias("p0"), *[F.min(f"m{i}")["node"].alias(f"p{i}") for i in range(1, PIVOTS)]]
+        whole = parts.groupBy("cell").agg(F.sum("c").alias("c"), F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("most"), *picks)
+        return whole.filter("roots > 1").drop("roots")
+
+    def arms(self, wide: DataFrame, split: DataFrame) -> DataFrame:
+        """Members of wide cells with their distances from its pivots: cell, node, c, p0, arms.
+        The sets of a cell's pivots are one row for each share of its members."""
+        picks = split.select("cell", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"), "c").join(wide.select("cell").distinct(), "cell")
+        pivots = picks.join(self.sets.select(F.col("node").alias("p"), F.col("keys").alias("k")), "p").groupBy("cell").agg(F.collect_list(F.struct("p", "k")).alias("ps"), F.first("c").alias("n"))  # PIVOTS entries at most
+        pivots = pivots.select("cell", "ps", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / SHARE))).alias("share"))
+        own = wide.select("cell", "node", "c", "p0", F.pmod(F.xxhash64("node"), 1 + F.floor(F.col("c") / SHARE)).alias("share")).join(self.sets, "node")
+        to = F.transform("ps", lambda x: F.struct(x["p"].alias("p"), F.when(x["p"] != F.col("node"), self.shared(F.col("keys"), x["k"])).alias("m")))
+        flat = F.transform(to, lambda x: F.struct(x["p"].alias("p"), F.coalesce(x["m"]["d"], F.lit(0.0)).alias("d"), F.coalesce(x["m"]["linked"], F.lit(True)).alias("linked")))
+        return own.join(pivots, ["cell", "share"]).select("cell", "node", "c", "p0", flat.alias("arms"))
+
     def leaf_links(self, leaf: DataFrame, radius: float) -> DataFrame:
         """Links between separate components within a leaf, in blocks: those outside the leaf's largest
         component against all. A link from each to each other component is enough."""
@@ -216,39 +244,41 @@ class _Join:
         key = ["cell", "x", "y"]
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: _compare(a, b, t, radius + 1e-9), "a long, b long")
 
-    def next_cells(self, wide: DataFrame, dist: DataFrame, radius: float) -> DataFrame:
+    def next_cells(self, arms: DataFrame, radius: float) -> DataFrame:
         """The members of wide cells by their pivots. A pivot itself is done. Cells of one pivot are
         one cell, wherever its members come from. A cell that its pivots don't part well (its cells
         would hold over twice its members, or one of them over half) becomes a leaf, together
         with those of the same first pivot; ``at`` is then the distance from it."""
-        to = wide.select("cell", "node", "c", "p0", F.explode("ps").alias("p"))
-        to = to.join(dist.select(F.col("a").alias("node"), F.col("b").alias("p"), "d"), ["node", "p"], "left")
-        to = to.withColumn("d", F.when(F.col("node") == F.col("p"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        per = to.groupBy("cell", "node").agg(F.first("c").alias("c"), F.first("p0").alias("p0"), F.min("d").alias("least"), F.min(F.when(F.col("p") == F.col("p0"), F.col("d"))).alias("d0"), F.collect_list(F.struct("p", "d")).alias("arms")).filter("least > 0")
         far, eps = 3 * radius, 1e-9  # farther than this from every pivot: the outer cell
+        least = F.array_min(F.transform("arms", lambda x: x["d"]))
+        first = F.filter("arms", lambda x: x["p"] == F.col("p0"))[0]["d"]
         keep = F.transform(F.filter("arms", lambda x: x["d"] <= F.least(F.col("least") + 2 * radius, F.lit(far + radius)) + eps), lambda x: x["p"])
         keep = F.when(F.col("least") <= far, keep).otherwise(F.concat(keep, F.array(F.lit(None).cast("long"))))
-        per = settle(per.withColumn("to", keep).drop("arms"), "jaccard-arms")
+        per = arms.withColumns({"least": least, "d0": first}).filter("least > 0").withColumn("to", keep).drop("arms")
         sizes = per.select("cell", "c", F.explode("to").alias("p")).groupBy("cell", "c", "p").count()
-        stuck = sizes.groupBy("cell").agg(((F.sum("count") > 2 * F.first("c")) | (2 * F.max("count") > F.first("c"))).alias("stuck"))
-        per = per.join(stuck, "cell")
+        stuck = settle(sizes.groupBy("cell", "c").agg(((F.sum("count") > 2 * F.col("c")) | (2 * F.max("count") > F.col("c"))).alias("stuck")), "jaccard-stuck")
+        per = join_hot(per.drop("c"), stuck, "cell", "c", arms.count(), "node")
         whole = per.filter("stuck").select(F.xxhash64("p0", F.lit(1)).alias("cell"), "node", F.col("d0").alias("at"))
         parted = per.filter("not stuck").select("cell", "node", F.explode("to").alias("p"))
         own = F.when(F.col("p").isNull(), F.xxhash64("cell", F.lit(2))).otherwise(F.xxhash64("p", F.lit(3)))
-        return whole.union(parted.select(own.alias("cell"), "node", F.lit(None).cast("double").alias("at"))).distinct()
+        out = settle(whole.union(parted.select(own.alias("cell"), "node", F.lit(None).cast("double").alias("at"))).distinct(), "jaccard-cells")
+        discard(stuck)
+        return out
 
     def run(self) -> DataFrame:
         self.regions()
         links = self.links()
         roots = components(links)
-        plain = self.nodes.select("node", "doc")
+        plain = self.nodes.select("node", "doc", "copies")
         named = roots.join(plain, "node")
         names = named.groupBy("root").agg(F.min("doc").alias("least"))
-        labels = plain.join(named.join(names, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "doc").alias("component_id"))
-        out = self.rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(labels, "node", "left")
+        labels = settle(plain.join(named.join(names, "root").select("node", "least"), "node", "left").select("node", "copies", F.coalesce("least", "doc").alias("component_id")), "jaccard-labels")
+        rows = self.rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
         real = lambda c: F.when(c != _NULL_ID, c)
-        found = settle(out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component_id", "doc_id")).alias("component_id")), "jaccard-components")
-        discard(links, roots, self.nodes, self.rows)
+        out = join_hot(rows.filter("n_shingles > 0"), labels, "node", "copies", rows.count(), "doc_id").select("doc_id", "n_shingles", "component_id")
+        out = out.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+        found = settle(out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("component_id")).alias("component_id")), "jaccard-components")
+        discard(links, roots, labels, self.nodes, self.rows)
         return found
 
 
@@ -266,6 +296,13 @@ def jaccard_components(documents: DataFrame, k: int = 5, per_cent: int = 80) ->
 
 def keep_one(documents: DataFrame, k: int = 5, per_cent: int = 80) -> DataFrame:
     """``documents``, all columns, with one document of each component: that of smallest doc_id.
-    Rows that share this doc_id all stay; null ids are never dropped."""
-    gone = jaccard_components(documents, k, per_cent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["gone"], "left_anti")
+
+    Rows that share this doc_id all stay; null ids are never dropped; null and blank texts are linked
+    with nothing and stay; columns of any name are kept as they are; an empty table stays empty.
+    Only rows that a fixed bit map of dropped ids may hold go into a shuffle.
+    """
+    found = jaccard_components(documents, k, per_cent)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    own = documents["doc_id"].cast("long")
+    may = maybe(documents.sparkSession, bitmap(gone, F.xxhash64("gone")), F.xxhash64(own))
+    return documents.filter(~may).unionByName(documents.filter(may).join(gone.hint("merge"), own == gone["gone"], "left_anti"))
