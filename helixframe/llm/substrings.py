@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.wordbytes import _ODD, U64, Words, mix64, slices, window_hashes
-from helixframe.runtime import settle
+from helixframe.llm.bitmap import bitmap, may_hold, maybe
+from helixframe.llm.hot import join_hot
+from helixframe.runtime import discard, settle
 
 #: place: the unit's number and, lowest, whether its text has had it before; words, chars: from (high half) and to.
 _UNITS = "d1 long, d2 long, doc_id long, _text long, place long, words long, chars long"
 #: Words that a cut's hash is of, and places of which one is a cut at least.
 NEAR, AMONG = 3, 15
-#: Bits of the map of repeated digests: 16 MB, whatever the input. It only saves shuffling; a full one is no error.
-MAP_BITS = 27
 _NAMES = [x.split()[0] for x in _UNITS.split(", ")]
 
 
@@ -44,7 +44,6 @@ def _cuts(h: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 def _units(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[pa.RecordBatch]:
     """Units of each text; with a bit map, those whose digest it may hold."""
-    bits = None if sent is None else np.frombuffer(sent.value, U64)
     for s in slices(batches):
         w = Words(s.column("text"), lower=True)
         n = len(w.start)
@@ -76,9 +75,8 @@ def _units(batches: Iterator[pa.RecordBatch], sent=None) -> Iterator[pa.RecordBa
         base = chars[w.text_at[owner]]
         w0 = start - w.ptr[owner]
         keep = slice(None)
-        if bits is not None:
-            at = d1.view(U64) >> U64(64 - MAP_BITS)
-            keep = np.flatnonzero((bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1))
+        if sent is not None:
+            keep = np.flatnonzero(may_hold(sent.value, d1))
             owner = owner[keep]
         pair = lambda lo, hi: (lo.astype(np.int64) << 32) | hi.astype(np.int64)
         of = lambda c: s.column(c).take(pa.array(owner))
@@ -96,29 +94,35 @@ def repeated_spans(documents: DataFrame, min_words: int = 20) -> DataFrame:
     """
     docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("_text", F.xxhash64("text"))
     units = docs.mapInArrow(_units, _UNITS)
-    groups = settle(units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept")).filter("n > 1").drop("n"), "repeated-units")
-    at = F.shiftrightunsigned("d1", 64 - MAP_BITS)
-    words = groups.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(d1, {64 - MAP_BITS}) & 63 as int))")).alias("bits")).toArrow()  # 2 ** (MAP_BITS - 6) rows at most
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = documents.sparkSession.sparkContext.broadcast(bits.tobytes())
+    groups = settle(units.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept")).filter("n > 1"), "repeated-units")
+    sent = documents.sparkSession.sparkContext.broadcast(bitmap(groups, F.col("d1")))
     units = docs.mapInArrow(lambda it: _units(it, sent), _UNITS)
-    mine = units.join(groups, ["d1", "d2"]).filter((F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("kept")))
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mine = join_hot(units, groups, ["d1", "d2"], "n", total, "doc_id").filter((F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("kept")))
     low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
     high = lambda c: F.shiftright(F.col(c), 32)
     w = Window.partitionBy("doc_id", "_text").orderBy("place")
     run = F.shiftright("place", 1) - F.dense_rank().over(w)  # rises where a unit between is no repeat
     runs = mine.withColumn("_run", run).groupBy("doc_id", "_text", "_run").agg(F.min(high("chars")).cast("int").alias("start"), F.max(low("chars")).cast("int").alias("end"), (F.max(low("words")) - F.min(high("words"))).alias("n_words"), F.min_by("kept", "place").alias("kept_doc_id"))
     null_back = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias(c)
-    return runs.filter(F.col("n_words") >= min_words).select(null_back("doc_id"), "_text", "start", "end", "n_words", null_back("kept_doc_id"))
+    out = settle(runs.filter(F.col("n_words") >= min_words).select(null_back("doc_id"), "_text", "start", "end", "n_words", null_back("kept_doc_id")), "repeated-spans")
+    discard(groups)
+    return out
 
 
 def remove_repeats(documents: DataFrame, min_words: int = 20) -> DataFrame:
     """``documents`` with repeated spans cut out of ``text``; rows and other columns stay, n_chars
-    (if there) follows. White space around a cut stays as it was."""
+    (if there) follows. White space around a cut stays as it was.
+
+    Null and blank texts stay as they are; rows of one id and text are cut alike; rows with a null
+    id are cut by what other rows have, and by null ids with other texts; an empty table stays empty.
+    """
     spans = repeated_spans(documents, min_words).groupBy("doc_id", "_text").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    docs = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    joined = docs.join(spans, docs["id"].eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs["text"]) == spans["_text"]), "left").select("row", "text", "cuts")
+    held = bitmap(spans, F.xxhash64("doc_id", "_text"))
+    docs = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    # only documents that have spans, by a fixed bit map, go into the shuffle
+    may = maybe(documents.sparkSession, held, F.xxhash64("id", "hash"))
+    joined = docs.filter(may).join(spans.hint("merge"), docs["id"].eqNullSafe(spans["doc_id"]) & (docs["hash"] == spans["_text"]), "left").select("row", "text", "cuts")
     text = F.col("text")
     # the kept pieces: from the end of one cut to the start of the next
     cuts = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), F.col("cuts"))
@@ -126,4 +130,5 @@ def remove_repeats(documents: DataFrame, min_words: int = 20) -> DataFrame:
     out = F.when(F.col("cuts").isNull(), text).otherwise(F.array_join(pieces, ""))
     left = F.when(F.col("cuts").isNull(), F.length(text)).otherwise(F.aggregate("cuts", F.length(text), lambda n, c: n - (c["end"] - c["start"])))
     cols = [out.alias("text") if c == "text" else left.cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in documents.columns]
-    return joined.select(*cols)
+    plain = docs.filter(~may).withColumn("cuts", F.lit(None).cast("array<struct<start: int, end: int>>")).select("row", "text", "cuts")
+    return plain.select(*cols).unionByName(joined.select(*cols))
