@@ -20,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.runtime import scratch, settle
+from helixframe.llm.hot import join_hot
+from helixframe.runtime import discard, scratch, settle
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 _INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())])
@@ -28,6 +29,8 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Ranges closer than this are read together, up to so many bytes.
 GAP, MOST = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads at most, and that are enough for one.
+TASK, LITTLE = 64 << 20, 1 << 20
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
 
@@ -117,10 +120,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "197
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha2("html", 256))
     rank = F.coalesce("page_id", F.lit(null_id))
-    shared = settle(rows.filter(F.length("html") >= LEAST).groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).filter("first < last").drop("last"), "warc-payloads")
-    marked = rows.join(shared, "digest", "left").withColumn("revisit", F.coalesce(rank > F.col("first"), F.lit(False)))
+    shared = settle(rows.filter(F.length("html") >= LEAST).groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("copies")).filter("first < last").drop("last"), "warc-payloads")
+    total = shared.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    marked = join_hot(rows, shared, "digest", "copies", total, "page_id", "left").withColumn("revisit", F.coalesce(rank > F.col("first"), F.lit(False)))
     marked = marked.withColumn("refers_to", F.when(F.col("revisit"), F.nullif("first", F.lit(null_id))))
-    return settle(marked.select("page_id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(lambda it: _write(it, folder, date, level), INDEX), "warc-index")
+    index = settle(marked.select("page_id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(lambda it: _write(it, folder, date, level), INDEX), "warc-index")
+    discard(shared)
+    return index
 
 
 def coalesce_ranges(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST) -> list[tuple[int, int, list[int]]]:
@@ -156,8 +162,17 @@ def _read(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Re
 
 def read_records(index: DataFrame, payload: bool = True) -> DataFrame:
     """The records that rows of an index name, parsed from the archives (columns of RECORD;
-    without ``payload`` its bytes are checked but not returned)."""
+    without ``payload`` its bytes are checked but not returned).
+
+    A record named twice is returned twice; an index row whose file, offset or length is null is an
+    error, as is a file that is gone; other columns are ignored; an empty index gives no rows.
+    Records that lie together are read by one task, TASK bytes of archives at most, and by as many
+    tasks as there are cores for as long as that leaves each LITTLE bytes.
+    """
     names = [x.split()[0] for x in RECORD.split(", ")][: None if payload else -1]
     schema = ", ".join(x for x in RECORD.split(", ") if x.split()[0] in names)
-    near = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (64 << 20))).sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    n = max(-(-total // TASK), min(-(-total // LITTLE), 4 * cores), 1)
+    near = index.select("file", "offset", "length").repartition(n, "file", F.floor(F.col("offset") / (1 + total // n))).sortWithinPartitions("file", "offset")
     return near.mapInArrow(lambda it: _read(it, names), schema)
