@@ -125,7 +125,7 @@ def test_pack_edges(odd, empty):
 
 
 def test_top_k_brute(spark, monkeypatch):
-    for name, n in (("LEAF", 4), ("QUERY_BLOCK", 8), ("DATA_BLOCK", 16), ("TOGETHER", 2)):
+    for name, n in (("LEAF", 4), ("QUERY_BLOCK", 4), ("DATA_BLOCK", 8), ("TOGETHER", 2)):
         monkeypatch.setattr(topk, name, n)
     rnd = random.Random(1)
     rows = [(i, [rnd.choice([-1.0, -0.5, 0.25, 0.26, rnd.random()]) for _ in range(6)], "x") for i in range(150)]
@@ -142,6 +142,35 @@ def test_top_k_brute(spark, monkeypatch):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_cells_are_pruned_by_covering_radii():
+    rnd = np.random.default_rng(2)
+    centres = np.round(rnd.normal(size=(40, 16)) * 200)
+    data = [c + np.round(rnd.normal(size=(100, 16)) * 5) for c in centres]
+    counts, radius = np.full(40, 100), np.array([np.sqrt(((x - c) ** 2).sum(1)).max() for x, c in zip(data, centres)])
+    every, visited = np.concatenate(data), 0
+    for c, x in enumerate(data):
+        q = x[:10]
+        first = topk.first_cells(q, centres, counts, 20)
+        least = np.sort(q @ np.concatenate([data[i] for i in first]).T)[:, -20]
+        rest = topk.other_cells(q, centres, radius, counts, least, 20)
+        assert not set(first) & set(rest)
+        seen = np.concatenate([data[i] for i in [*first, *rest]])
+        assert (np.sort(q @ seen.T)[:, -20:] == np.sort(q @ every.T)[:, -20:]).all()
+        visited += len(first) + len(rest)
+    assert visited < 40 * 40 / 5
+
+
+def test_cover_tree_covers_and_separates():
+    x = np.random.default_rng(3).normal(size=(2000, 3))
+    t = topk.CoverTree(x)
+    assert sorted(np.concatenate([own for own, kids in zip(t.own, t.children) if not kids])) == list(range(2000))
+    for node, kids in enumerate(t.children):
+        if kids:
+            c, cover = x[[t.centre[i] for i in kids]], max(t.radius[i] for i in kids)
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))[np.triu_indices(len(kids), 1)]
+            assert apart.min() >= cover and cover <= t.radius[node] and sorted(np.concatenate([t.own[i] for i in kids])) == sorted(t.own[node])
+
+
 def test_top_k_large_values_and_empty(spark):
     rows = [(0, [1e12, 3.0]), (1, [1e12, 1.0]), (2, [-1e12, 5.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
