@@ -2,8 +2,10 @@
 
 A rule looks at a batch of texts and says which it rejects. The verdict is the same in any order:
 a document is kept when no rule rejects it. The order only decides how soon a bad document stops
-costing time, so it is chosen from a bounded sample: each rule runs alone there, and rules go by
-(share rejected) / (seconds per document), falling.
+costing time, so each task chooses it from a bounded sample of its own, the first texts it reads: what
+each measure costs there, once words are known, and what each rule rejects. The next rule is always
+the one with the most rejections, among texts that the rules before it leave, for the time of the
+measures that those have not made yet.
 """
 
 from __future__ import annotations
@@ -29,7 +31,16 @@ class Batch:
         self._made: dict[str, np.ndarray] = {}
 
     def take(self, at: np.ndarray) -> Batch:
-        return Batch(self.texts.take(pa.array(at)))
+        """Some of the texts, with what has been made for them."""
+        out = Batch(self.texts.take(pa.array(at)))
+        out._made = {k: v[at] for k, v in self._made.items()}
+        return out
+
+    def fresh(self) -> Batch:
+        """The same words, with nothing made of them."""
+        out = object.__new__(Batch)
+        out.texts, out.words, out._made = self.texts, self.words, {}
+        return out
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._made:
@@ -136,46 +147,75 @@ RULES = (
 FEATURES["n_letters"] = lambda b: b.get("n_upper") + b.get("n_lower")
 
 
-def order_rules(documents: DataFrame, rules: tuple[Rule, ...], sample: int = 1000) -> tuple[Rule, ...]:
-    """The rules by rejections per second on at most ``sample`` documents, best first."""
-    texts = [r[0] for r in documents.select(F.col("text").cast("string")).sample(0.1, 11).limit(sample).collect()]
-    if not texts:
-        return tuple(rules)
-    col, worth = pa.array(texts, pa.large_string()), {}
-    for r in rules:
+#: Measures that come from others.
+_FROM = {"n_letters": ("n_upper", "n_lower"), "n_lines": ("_lines",), "n_dup_lines": ("_lines",)}
+
+
+def _needs(r: Rule) -> set[str]:
+    """What a rule's measures are made of."""
+    return {x for f in (r.have, r.of) if f != "1" for x in _FROM.get(f, (f,))}
+
+
+def _seconds(make: Callable[[], object]) -> float:
+    """The shorter of two runs."""
+    out = []
+    for _ in range(2):
         began = time.perf_counter()
-        share = float(r.rejects(Batch(col)).mean())
-        worth[r.name] = share / max(time.perf_counter() - began, 1e-9)
-    return tuple(sorted(rules, key=lambda r: -worth[r.name]))
+        make()
+        out.append(time.perf_counter() - began)
+    return max(min(out), 1e-9)
+
+
+def order_rules(b: Batch, rules: tuple[Rule, ...], sample: int = 1000, alive: np.ndarray | None = None) -> tuple[Rule, ...]:
+    """The rules, best first, by at most ``sample`` texts of a batch; ties keep their order. What the
+    batch has made already costs nothing; ``alive``: texts that come to the rules at all."""
+    part = b.take(np.arange(min(sample, len(b.texts))))
+    live = np.ones(len(part.texts), bool) if alive is None else alive[: len(part.texts)].copy()
+    cost = {x: 0.0 if x in b._made else _seconds(lambda x=x: (_lines if x == "_lines" else FEATURES[x])(part.fresh())) for r in rules for x in _needs(r)}
+    rejects = {r.name: r.rejects(part) for r in rules}
+    look = {r.name: _seconds(lambda r=r: r.rejects(part)) for r in rules}
+    out, left, made = [], list(rules), set()
+    while left:
+        worth = lambda r: (rejects[r.name] & live).sum() / (look[r.name] + sum(cost[x] for x in _needs(r) - made))
+        best = max(left, key=worth)
+        left.remove(best)
+        out.append(best)
+        made |= _needs(best)
+        live &= ~rejects[best.name]
+    return tuple(out)
 
 
 def cascade(b: Batch, rules: tuple[Rule, ...], alive: np.ndarray) -> np.ndarray:
-    """Which texts no rule rejects; each rule sees only those still alive. ``alive``: at the start."""
-    at, part = np.flatnonzero(alive), b
-    if len(at) < len(alive):
-        part = b.take(at)
+    """Which texts no rule rejects; a rule's measures are only made for texts still alive, once those
+    are under half of the batch at hand. ``alive``: at the start."""
+    whole, at, part = np.flatnonzero(alive), np.flatnonzero(alive), b  # numbers in b and in part
     for r in rules:
         if not len(at):
             break
-        good = ~r.rejects(part)
-        if not good.all():
-            at, part = at[good], part.take(np.flatnonzero(good))
+        if 2 * len(at) < len(part.texts) and not _needs(r) <= set(part._made):
+            part, at = part.take(at), np.arange(len(at))
+        good = ~r.rejects(part)[at]
+        whole, at = whole[good], at[good]
     out = np.zeros(len(alive), bool)
-    out[at] = True
+    out[whole] = True
     return out
 
 
 _LONGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _score(batches: Iterator[pa.RecordBatch], base: tuple[Rule, ...], rules: tuple[Rule, ...]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], base: tuple[Rule, ...], rules: tuple[Rule, ...], sample: int) -> Iterator[pa.RecordBatch]:
+    ordered = None
     for s in slices(batches):
         b = Batch(s.column("text"))
+        for c in _LONGS:
+            b.get(c)
         failed = np.zeros(len(b.texts), bool)
         for r in base:
             failed |= r.rejects(b)
         # what the base has measured is there; the cascade works on what the base left
-        kept = cascade(b, rules, ~failed)
+        ordered = ordered or order_rules(b, rules, sample, ~failed)
+        kept = cascade(b, ordered, ~failed)
         yield pa.RecordBatch.from_arrays([s.column("doc_id"), *(pa.array(b.get(c), pa.int64()) for c in _LONGS), pa.array(failed), pa.array(kept)], ["doc_id", *_LONGS, "base_failed", "kept"])
 
 
@@ -183,21 +223,27 @@ def assess(documents: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Ru
     """Per row: doc_id, the measures of its whole text, base_failed, and kept.
 
     A null text counts as empty, which the base rejects; a null doc_id stays null; repeated rows
-    are judged each; other columns are ignored; an empty table gives no rows.
+    are judged each; other columns are ignored; an empty table gives no rows. Each task orders the
+    rules by the first ``sample`` texts it reads at most; the verdict is the same in any order.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = order_rules(docs, rules, sample)
-    return docs.mapInArrow(lambda it: _score(it, base, ordered), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return docs.mapInArrow(lambda it: _score(it, base, tuple(rules), sample), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
 
 
 def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, sample: int = 1000) -> DataFrame:
     """The rows of ``documents``, all columns, that base and rules keep, by the cascade throughout:
-    here no measure is needed for its own sake, so base rules stand in the cascade too."""
-    ordered = order_rules(documents, base + tuple(rules), sample)
+    here no measure is needed for its own sake, so base rules stand in the cascade too.
+
+    A null or empty text is rejected (it has too few words); null ids, repeated rows and columns of
+    any name are kept as they are; ``text`` may be of any type that casts to a string; an empty
+    table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = None
         for s in slices(batches):
             b = Batch(s.column(s.schema.get_field_index("text")))
+            ordered = ordered or order_rules(b, tuple(base) + tuple(rules), sample)
             yield s.filter(pa.array(cascade(b, ordered, np.ones(len(b.texts), bool))))
 
     return documents.mapInArrow(run, documents.schema)
