@@ -8,8 +8,11 @@ and backward sums) over words of a bounded sample of labelled documents.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,7 +24,25 @@ from pyspark.sql import functions as F
 from helixframe.llm.kept import keep
 from helixframe.llm.wordbytes import slices
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+def _ranges(first: str) -> str:
+    """The code points whose Unicode category begins with a letter, as ranges of a character class."""
+    of = [unicodedata.category(chr(c))[0] == first for c in range(sys.maxunicode + 1)]
+    edges = [c for c in range(len(of)) if of[c] != (c > 0 and of[c - 1])]
+    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2], [*edges[1::2], len(of)]))
+
+
+#: The same for texts of plain characters only, much faster; those that were seen to be plain.
+_QUICK, _PLAIN = re.compile(r"[^\W\d_]+"), set()
+
+
+@functools.cache
+def _word() -> re.Pattern:
+    """A letter, then letters and their marks."""
+    letters = _ranges("L")
+    return re.compile(f"[{letters}][{letters}{_ranges('M')}]*")
+
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 #: Probability of a character that is no piece, and the factor per character that keeps sums near 1.
@@ -42,8 +63,12 @@ def load_pieces(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters (Unicode category L) with marks inside, lower-cased."""
+    text = text.lower()
+    new = set(text) - _PLAIN
+    odd = {c for c in new if unicodedata.category(c)[0] == "M" or _QUICK.match(c) and unicodedata.category(c)[0] != "L"}
+    _PLAIN.update(new - odd)
+    return (_word() if odd else _QUICK).findall(text)
 
 
 class Lattice:
@@ -109,7 +134,7 @@ class Lattice:
         by = sorted(range(len(words)), key=lambda i: len(words[i]))
         at = 0
         while at < len(by):
-            end = min(at + 5_000, len(by))
+            end = min(at + 20_000, len(by))
             wide = len(words[by[at]]) * 3 // 2 + 4  # chunks of like lengths
             while end > at + 1 and len(words[by[end - 1]]) > wide:
                 end = at + max(1, (end - at) // 2)
@@ -151,7 +176,8 @@ class Model:
 
 
 def train(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, most_words: int = 30_000) -> Model:
-    """Expectation maximisation for each language over its ``most_words`` commonest words."""
+    """Expectation maximisation for each language over the ``most_words`` commonest words of its
+    sample, without those of more than 48 letters: both bound what is fitted, not what is scored."""
     lattice, langs = Lattice(pieces), sorted(texts)
     probs = np.zeros((len(pieces) + 1, len(langs)))
     for k, lang in enumerate(langs):
@@ -184,14 +210,18 @@ def train(texts: dict[str, list[str]], pieces: list[str], rounds: int = 3, most_
     return Model(langs, pieces, probs)
 
 
-def fit(documents: DataFrame, pieces: list[str], per_lang: int = 400, most_docs: int = 4000) -> Model:
+def fit(documents: DataFrame, pieces: list[str], per_lang: int = 400, most_docs: int = 4000, most_chars: int = 20_000) -> Model:
     """A model from labelled rows: up to about ``per_lang`` documents a language and ``most_docs``
-    in all, drawn by a hash of id and text. Null texts and labels are left out."""
+    in all, drawn by a hash of id and text, and of each ``most_chars`` at most. Null texts and labels
+    are left out; without any labelled text the model knows no language."""
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_docs).collect()}
     each = min(per_lang, most_docs // max(len(sizes), 1))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, each / n))) for k, n in sizes.items()]) if sizes else F.lit(0.0)
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text").limit(2 * most_docs).collect()
+    # of a long text a piece of most_chars, from a place that its hash names: the sample is bounded in bytes too
+    at = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - most_chars + 1, F.lit(1))) + 1
+    piece = F.when(F.length("text") <= most_chars, F.col("text")).otherwise(F.substring("text", at.cast("int"), F.lit(most_chars)))
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", piece.alias("text")).limit(2 * most_docs).collect()
     texts: dict[str, list[str]] = {k: [] for k in sizes}
     for r in drawn:
         texts[r["lang"]].append(r["text"])
@@ -267,7 +297,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows, all columns, whose language is known with a posterior of ``least`` or more."""
+    """The rows, all columns, whose language is known with a posterior of ``least`` or more.
+
+    Null texts and those without a letter go, and so do all if nothing was learned; null ids,
+    repeated rows and columns of any name are kept as they are; an empty table gives no rows.
+    """
     sent = Sent(documents.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
