@@ -1,14 +1,18 @@
 """Licence scans: normalised text against licence templates by Dice over word bigrams.
 
-Text is cut into units at line ends and sentence ends, and every run of consecutive units is a
-candidate passage. A template of b distinct bigrams can reach a Dice of t only with passages of
-t b / (2 - t) to b (2 - t) / t, so others are never compared; and a run that has gathered more
-bigrams of no template than the largest could allow is not carried on. Runs that begin or end
-with a unit without any template bigram are left out: without that unit they score higher.
+Text is cut into units at line ends, at sentence ends, and where a stretch of template bigrams of
+STRETCH words or more begins or ends; runs of consecutive units are candidate passages. A template
+of b distinct bigrams can reach a Dice of t only with passages of t b / (2 - t) to b (2 - t) / t, so
+others are never compared; and a run that has gathered more bigrams, or more of no template, than
+any template could allow is not carried on. Runs that begin or end with a unit without any template
+bigram are left out: without that unit they score higher. So are runs that a unit more on either
+side would not change (its bigrams are all there): the longer run has the same Dice. Repeated
+licence text thus makes one candidate, and each start is followed for about one repetition.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,6 +24,10 @@ from pyspark.sql import functions as F
 from helixframe.llm.wordbytes import Words, slices, window_hashes
 
 
+#: Words of a stretch of template bigrams that makes a unit of its own.
+STRETCH = 4
+
+
 class Template(NamedTuple):
     license: str
     text: str
@@ -46,13 +54,26 @@ TEMPLATES = (
     Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     Template("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    Template("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
     Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    Template("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."),
+    Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    Template("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    Template("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"),
+    Template("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     Template("CC-BY-4.0", "Licensed under CC BY 4.0."),
     Template("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     Template("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    Template("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    Template("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    Template("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    Template("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    Template("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    Template("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     Template("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
@@ -95,6 +116,7 @@ class Scanner:
                 self.within.setdefault(g, []).append(i)
         t = per_cent
         self.bounds = [(-(-t * len(s) // (200 - t)), (200 - t) * len(s) // t) for s in self.sets]
+        self.most = max((hi for _, hi in self.bounds), default=0)
         self.most_misses = max((2 * len(s) * (100 - t) // t for s in self.sets), default=0)
 
     def hits(self, grams: np.ndarray) -> np.ndarray:
@@ -116,6 +138,7 @@ class Scanner:
                 continue
             seen, misses, common = set(), 0, [0] * len(self.sets)
             done = units[i][0]
+            left = set(grams[units[i - 1][0] : units[i][0]]) if i and has[i - 1] else None  # what a unit more on the left would add
             for j in range(i, len(units)):
                 stop = units[j][1] - 1
                 for g in grams[done:stop]:
@@ -127,22 +150,37 @@ class Scanner:
                         else:
                             misses += 1
                 done = max(done, stop)
-                if misses > self.most_misses:
+                a = len(seen)
+                if misses > self.most_misses or a > self.most:
                     break
-                if not ends[j]:
+                if left is not None:
+                    left -= seen
+                    if not left:
+                        break
+                if not ends[j] or j + 1 < len(units) and has[j + 1] and seen.issuperset(grams[done : units[j + 1][1] - 1]):
                     continue
-                a = len(seen)
                 for x, (lo, hi) in enumerate(self.bounds):
                     if lo <= a <= hi and 200 * common[x] >= self.t * (a + len(self.sets[x])):
                         found.append((2.0 * common[x] / (a + len(self.sets[x])), units[i][0], units[j][1], x))
         found.sort(key=lambda m: (-m[0], m[1] - m[2], m[1], m[3]))
         out: list[tuple[float, int, int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, disjoint
         for m in found:
-            if all(m[2] <= o[1] or m[1] >= o[2] for o in out):
+            at = bisect_left(taken, (m[2], 0))  # those before it begin before the match ends
+            if not at or taken[at - 1][1] <= m[1]:
+                taken.insert(at, (m[1], m[2]))
                 out.append(m)
         return out
 
 
+def _stretches(hit: np.ndarray) -> np.ndarray:
+    """Words after which a text is cut as a stretch of template bigrams begins or ends there. hit: by first word."""
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    first, past = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # words first..past
+    long = past - first >= STRETCH - 1
+    return np.concatenate([first[long] - 1, past[long]])
+
+
 def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES, per_cent: int = 80) -> DataFrame:
     """A row for each licence passage: doc_id, license, dice, start, end (code points, end exclusive), n_words.
 
@@ -166,7 +204,10 @@ def scan(documents: DataFrame, templates: tuple[Template, ...] = TEMPLATES, per_
             ids, rows = s.column("doc_id").to_pylist(), []
             for i in np.unique(owner[:-1][hit]):
                 lo, hi = w.ptr[i], w.ptr[i + 1]
-                stops = (np.flatnonzero(cut[lo:hi]) + 1).tolist()
+                own = cut[lo:hi].copy()
+                also = _stretches(hit[lo : hi - 1])
+                own[also[also >= 0]] = True
+                stops = (np.flatnonzero(own) + 1).tolist()
                 for dice, a, b, x in scanner.passages(grams[lo : hi - 1].tolist(), hit[lo : hi - 1].tolist(), list(zip([0, *stops], stops))):
                     base = chars[w.text_at[i]]
                     rows.append((ids[i], scanner.names[x], dice, int(chars[w.start[lo + a]] - base), int(chars[w.stop[lo + b - 1]] - base), b - a))
