@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from helixframe.runtime import settle
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_part", pa.int32()), ("_nth", pa.int64())])
 #: Entries in each of the two generations of a worker's word memo.
-MEMO = 200_000
+MEMO = 400_000
 #: Longer words are encoded each time.
 MEMO_WORD = 64
 #: Texts that are encoded together.
@@ -49,12 +50,17 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self.model = self.tok.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, self.batch(words, add_special_tokens=False))}
 
+    def _bare(self, words: list[str]) -> dict[str, bytes]:
+        """Lower-case ASCII words, which normalising and cutting leave as they are, go to the model itself."""
+        return {w: array("I", [t.id for t in self.model.tokenize(w)]).tobytes() for w in words}
+
     def _joined(self, words: list[str]) -> dict[str, bytes]:
         out = {}
         for at in range(0, len(words), 1000):
@@ -76,7 +82,10 @@ class Encoder:
         known = {w: v for w in plain if (v := self.young.get(w) or self.old.get(w)) is not None}
         plain.update(".,")
         todo = [w for w in plain if w not in known]
-        known |= self._joined([w for w in todo if w.isalpha()]) | self._each([w for w in todo if not w.isalpha()])
+        bare, letters, others = [], [], []
+        for w in todo:
+            (others if not w.isalpha() else bare if w.isascii() and w.islower() else letters).append(w)
+        known |= self._bare(bare) | self._joined(letters) | self._each(others)
         return {w: b"" if not w else known[w] if w in known else known[w[:-1]] + known[w[-1]] for w in words}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -194,5 +203,6 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 5)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(base, ["length", "_part"]).select(*names, (F.col("_base") + F.col("_nth")).alias("_rank"))
+    # never broadcast: base has a row for each length of each task, which is no fixed number
+    ranked = pieces.join(base.hint("merge"), ["length", "_part"]).select(*names, (F.col("_base") + F.col("_nth")).alias("_rank"))
     return ranked.mapInArrow(lambda it: _place(it, slots, names), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
