@@ -7,21 +7,19 @@ ignore or warn, for an index older than its file), ``mode`` (FAILFAST, DROPMALFO
 ``strict`` (a mapped record has a reference, an unmapped has none), ``columns`` (decode no tags
 unless named), ``splitSize`` (compressed bytes of a partition of an indexed file).
 
-Writing: a file for each task. Options: ``header`` (its text), ``compressionLevel``,
+Writing: a file for each task, which is seen once the job is committed. Options: ``header`` (its text), ``compressionLevel``,
 ``index`` (true: write ``.bai`` files; the rows of a task have to be in order), ``writeHeader``.
 """
 
 from __future__ import annotations
 
 import struct
-import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from helixframe.schema import ALIGNMENTS
 from helixframe.sources import files
@@ -29,6 +27,7 @@ from helixframe.sources.bai_codec import Builder, Index, merge
 from helixframe.sources.bgzf_codec import BlockError, Reader, Writer
 from helixframe.sources.header import Header
 from helixframe.sources.record_codec import RecordError, decode, encode, place
+from helixframe.sources.staging import Part, Staging
 
 BATCH = 4096
 _TAG = pa.struct([("name", pa.string()), ("type", pa.string()), ("subtype", pa.string()), ("i", pa.int64()), ("f", pa.float32()), ("s", pa.string()), ("ia", pa.list_(pa.int64())), ("fa", pa.list_(pa.float32()))])
@@ -178,12 +177,6 @@ class AlignmentReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
 
-@dataclass
-class Part(WriterCommitMessage):
-    path: str
-    rows: int
-
-
 class AlignmentWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], overwrite: bool):
         o = {k.lower(): v for k, v in options.items()}
@@ -192,11 +185,11 @@ class AlignmentWriter(DataSourceArrowWriter):
         if not 0 <= self.level <= 9:
             raise ValueError("compressionLevel has to lie in 0..9")
         self.with_index, self.with_header = o.get("index", "false").lower() == "true", o.get("writeheader", "true").lower() == "true"
-        self.overwrite = overwrite
-        self.job = uuid.uuid4().hex[:12]
+        self.staging = Staging(self.path, overwrite, (".bam", ".bam.bai"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        path = f"{self.path.rstrip('/')}/part-{TaskContext.get().partitionId():06d}-{self.job}-{uuid.uuid4().hex[:8]}.bam"
+        name = self.staging.name(".bam")
+        path = f"{self.staging.folder}/{name}"
         rows, builder = 0, Builder(self.header.n_references) if self.with_index else None
         with files.open_output(path) as out:
             w = Writer(out, self.level)
@@ -214,26 +207,13 @@ class AlignmentWriter(DataSourceArrowWriter):
         if builder:
             with files.open_output(f"{path}.bai") as out:
                 out.write(builder.index().binary())
-        return Part(path, rows)
+        return Part([name, *([f"{name}.bai"] if builder else [])], rows)
 
     def commit(self, messages: list[Part | None]) -> None:
-        if self.overwrite:
-            keep = {m.path for m in messages if m}
-            try:
-                old = files.listing(self.path, ".bam")
-            except FileNotFoundError:
-                old = []
-            here = {files.resolve(p)[1] for p in keep}
-            for p in old:
-                if files.resolve(p)[1] not in here:
-                    files.remove(p)
-                    files.remove(f"{p}.bai")
+        self.staging.commit(messages)
 
     def abort(self, messages: list[Part | None]) -> None:
-        for m in messages:
-            if m:
-                files.remove(m.path)
-                files.remove(f"{m.path}.bai")
+        self.staging.abort()
 
 
 class AlignmentSource(DataSource):

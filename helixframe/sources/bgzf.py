@@ -9,21 +9,24 @@ a missing end block an error. Writing takes ``data`` (and ``coffset`` or row ord
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from helixframe.sources import files
-from helixframe.sources.bgzf_codec import END, BlockError, Writer, load
+from helixframe.sources.bgzf_codec import END, BlockError, Buffered, Writer, load
+from helixframe.sources.staging import Part, Staging
 
 SCHEMA = "path string, coffset bigint, bsize int, isize int, crc32 bigint, data binary"
 _ARROW = pa.schema([("path", pa.string()), ("coffset", pa.int64()), ("bsize", pa.int32()), ("isize", pa.int32()), ("crc32", pa.int64()), ("data", pa.binary())])
 
 
+#: Blocks of a batch at most, and bytes of contents after which it is full.
+ROWS, BYTES = 4096, 8 << 20
+
+
 @dataclass
 class Span(InputPartition):
     path: str
@@ -76,42 +79,44 @@ class BlockReader(DataSourceReader):
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         with files.open_input(partition.path) as f:
-            at = partition.start >> 16
+            f, at, held, size = Buffered(f), partition.start >> 16, [], 0
             while (at << 16) < partition.end and (b := load(f, at)) is not None:
                 lo = partition.start & 0xFFFF if at == partition.start >> 16 else 0
                 hi = partition.end & 0xFFFF if at == partition.end >> 16 else len(b.contents)
-                yield pa.RecordBatch.from_pydict({"path": [partition.path], "coffset": [at], "bsize": [b.size], "isize": [len(b.contents)], "crc32": [b.crc32], "data": [b.contents[lo:hi]]}, schema=_ARROW)
-                at += b.size
-
+                held.append((partition.path, at, b.size, len(b.contents), b.crc32, b.contents[lo:hi]))
+                at, size = at + b.size, size + len(b.contents)
+                if len(held) == ROWS or size >= BYTES:
+                    yield self._batch(held)
+                    held, size = [], 0
+            if held:
+                yield self._batch(held)
 
-@dataclass
-class Part(WriterCommitMessage):
-    path: str
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 class BlockWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict[str, str]):
+    def __init__(self, options: dict[str, str], overwrite: bool):
         o = {k.lower(): v for k, v in options.items()}
-        self.path, self.level = o["path"], int(o.get("compressionlevel", "6"))
+        self.staging, self.level = Staging(o["path"], overwrite, (".gz",)), int(o.get("compressionlevel", "6"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        path = f"{self.path.rstrip('/')}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.gz"
-        with files.open_output(path) as out:
+        name, rows = self.staging.name(".gz"), 0
+        with files.open_output(f"{self.staging.folder}/{name}") as out:
             w = Writer(out, self.level)
             for batch in iterator:
                 for data in batch.column(batch.schema.get_field_index("data")).to_pylist():
                     w.write(data or b"")
                     w.flush()
+                    rows += 1
             w.finish()
-        return Part(path)
+        return Part([name], rows)
 
-    def commit(self, messages) -> None:
-        pass
+    def commit(self, messages: list[Part | None]) -> None:
+        self.staging.commit(messages)
 
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m:
-                files.remove(m.path)
+    def abort(self, messages: list[Part | None]) -> None:
+        self.staging.abort()
 
 
 class BlockSource(DataSource):
@@ -126,4 +131,4 @@ class BlockSource(DataSource):
         return BlockReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return BlockWriter(self.options)
+        return BlockWriter(self.options, overwrite)

@@ -21,6 +21,19 @@ class Block(NamedTuple):
     crc32: int
 
 
+class Buffered:
+    """Reads of a file that mostly go forward, a window at a time: one remote read for many blocks."""
+
+    def __init__(self, f, window: int = 1 << 20):
+        self.f, self.window, self.at, self.held = f, window, 0, b""
+
+    def read_at(self, n: int, offset: int) -> bytes:
+        start = offset - self.at
+        if start < 0 or start + n > len(self.held):
+            self.at, self.held, start = offset, self.f.read_at(max(n, self.window), offset), 0
+        return self.held[start : start + n]
+
+
 def load(f, offset: int) -> Block | None:
     """The block at a file offset; None at the file's end."""
     head = f.read_at(12, offset)
@@ -75,8 +88,9 @@ END = blocks_for(b"")[0]
 class Reader:
     """Bytes from a virtual offset on; empty blocks on the way are passed over."""
 
-    def __init__(self, f, start: int = 0):
-        self.f = f
+    def __init__(self, f, start: int = 0, window: int = 1 << 20):
+        """window: bytes that are read at once."""
+        self.f = Buffered(f, window)
         self.seek(start)
 
     def seek(self, virtual: int) -> None:

@@ -48,6 +48,28 @@ def remove(path: str) -> None:
         fs.delete_file(p)
 
 
+def move(path: str, to: str) -> None:
+    """Within one file system; folders are made."""
+    fs, p = resolve(path)
+    q = resolve(to)[1]
+    fs.create_dir(os.path.dirname(q), recursive=True)
+    fs.move(p, q)
+
+
+def remove_folder(path: str) -> None:
+    fs, p = resolve(path)
+    if fs.get_file_info(p).type == FileType.Directory:
+        fs.delete_dir(p)
+
+
+def names(path: str, folders: bool = False) -> list[str]:
+    """Names of files in a folder (none if there is no such folder), but for hidden ones; or of folders."""
+    fs, p = resolve(path)
+    found = fs.get_file_info(FileSelector(p, allow_not_found=True))
+    kind = FileType.Directory if folders else FileType.File
+    return sorted(n for x in found if x.type == kind and not (n := os.path.basename(x.path)).startswith(("_", ".")))
+
+
 def listing(path: str, suffix: str) -> list[str]:
     """Files with the suffix: the file itself, those of a folder, or those that a pattern names."""
     fs, p = resolve(path)
