@@ -1,11 +1,12 @@
 """The binary alignment format as a Spark data source: ``spark.read.format("alignments_bam")``.
 
-Reading: one partition for each file, or with an index one for each group of chunks. Filters on
+Reading: files are cut into pieces of ``splitSize`` compressed bytes; each task finds the first
+record of its piece by itself, or with an index by that. Filters on
 ``ref_id``, ``start`` and ``end`` choose chunks by the index; every filter is still applied by
 Spark. Options: ``index`` (true: use ``<file>.bai``), ``baiPath``, ``modificationTime`` (error,
 ignore or warn, for an index older than its file), ``mode`` (FAILFAST, DROPMALFORMED, PERMISSIVE),
 ``strict`` (a mapped record has a reference, an unmapped has none), ``columns`` (decode no tags
-unless named), ``splitSize`` (compressed bytes of a partition of an indexed file).
+unless named), ``splitSize`` (compressed bytes of a partition).
 
 Writing: a file for each task, which is seen once the job is committed. Options: ``header`` (its text), ``compressionLevel``,
 ``index`` (true: write ``.bai`` files; the rows of a task have to be in order), ``writeHeader``.
@@ -18,18 +19,21 @@ import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from helixframe.schema import ALIGNMENTS
 from helixframe.sources import files
 from helixframe.sources.bai_codec import Builder, Index, merge
-from helixframe.sources.bgzf_codec import BlockError, Reader, Writer
+from helixframe.sources.bgzf_codec import BlockError, Buffered, Reader, Writer, load, next_block
 from helixframe.sources.header import Header
 from helixframe.sources.record_codec import RecordError, decode, encode, place
 from helixframe.sources.staging import Part, Staging
 
 BATCH = 4096
+#: Bytes beyond a block that are looked at for where its first record begins, and records that have to follow.
+AHEAD, CHAIN = 512 << 10, 16
 _TAG = pa.struct([("name", pa.string()), ("type", pa.string()), ("subtype", pa.string()), ("i", pa.int64()), ("f", pa.float32()), ("s", pa.string()), ("ia", pa.list_(pa.int64())), ("fa", pa.list_(pa.float32()))])
 _KINDS = {"qname": pa.string(), "rname": pa.string(), "cigar": pa.string(), "seq": pa.string(), "qual": pa.string(), "_corrupt": pa.string(), "tags": pa.list_(_TAG)}
 _NAMES = ["qname", "flag", "ref_id", "rname", "start", "end", "bin", "mapq", "cigar", "mate_ref_id", "mate_start", "tlen", "seq", "qual", "tags", "_corrupt"]
@@ -59,10 +63,52 @@ def check_age(bam: str, bai: str, mode: str) -> None:
         warnings.warn(text, stacklevel=2)
 
 
+def first_record(f, start: int, end: int, n_references: int) -> int | None:
+    """The virtual offset of the first record that begins in a block between two file offsets: the
+    first place from where on bytes read as records, up to CHAIN of them or the end of what is at hand."""
+    f, at = Buffered(f), next_block(Buffered(f), start, end)
+    while at is not None and at < end and (b := load(f, at)) is not None:
+        r = Reader(f, at << 16)
+        data = np.frombuffer(r.read(len(b.contents) + AHEAD), np.uint8)
+        n = min(len(b.contents), len(data) - 35)
+        if n > 0:
+            core = np.lib.stride_tricks.sliding_window_view(data, 36)[:n]
+            field = lambda lo: np.ascontiguousarray(core[:, lo : lo + 4]).view("<i4")[:, 0].astype(np.int64)
+            size, ref, pos, seq, mate, mate_pos = (field(x) for x in (0, 4, 8, 20, 24, 28))
+            name, ops = core[:, 12].astype(np.int64), core[:, 16].astype(np.int64) | core[:, 17].astype(np.int64) << 8
+            least = 32 + name + 4 * ops + (seq + 1) // 2 + seq
+            ok = (name > 0) & (seq >= 0) & (size >= least) & (np.minimum(np.minimum(ref, mate), np.minimum(pos, mate_pos)) >= -1) & (np.maximum(ref, mate) < n_references)
+            for u in np.flatnonzero(ok).tolist():
+                if _reads_on(data, u, n_references):
+                    return (at << 16) | u
+        at += b.size
+    return None
+
+
+def _reads_on(data: np.ndarray, at: int, n_references: int) -> bool:
+    """Whether bytes read as records one after another."""
+    for _ in range(CHAIN):
+        if at + 36 > len(data):
+            break
+        raw = data[at : at + 36].tobytes()
+        size, ref, pos, name, _, _, ops, _, seq, mate, mate_pos, _ = struct.unpack("<iiiBBHHHiiii", raw)
+        if name < 1 or seq < 0 or size < 32 + name + 4 * ops + (seq + 1) // 2 + seq or min(ref, pos, mate, mate_pos) < -1 or max(ref, mate) >= n_references:
+            return False
+        text = data[at + 36 : at + 36 + name]
+        if len(text) == name and (text[-1] or (text[:-1] < 32).any()):
+            return False
+        words = data[at + 36 + name : at + 36 + name + 4 * ops][::4]
+        if ((words & 15) > 8).any():
+            return False
+        at += 4 + size
+    return True
+
+
 @dataclass
 class Chunks(InputPartition):
     path: str
     chunks: list[tuple[int, int | None]]  # virtual offsets; None: to the file's end
+    piece: tuple[int, int] | None = None  # file offsets: records that begin in blocks between them
     stop: int | None = None  # no record from this start on is wanted: the file is in order
     ref_id: int | None = None
 
@@ -101,14 +147,15 @@ class AlignmentReader(DataSourceReader):
         out: list[InputPartition] = []
         for path in files.listing(self.path, ".bam"):
             if not self.indexed:
-                out.append(Chunks(path, [(-1, None)]))
+                size = files.size(path)
+                out += [Chunks(path, [(-1, (a + self.split) << 16 if a + self.split < size else None)] if not a else [], (a, min(a + self.split, size)) if a else None) for a in range(0, max(size, 1), self.split)]
                 continue
             bai = self.options.get("baipath", f"{path}.bai")
             check_age(path, bai, self.options.get("modificationtime", "error").lower())
             index = read_index(bai)
             if self.ref_id is not None and self.ref_id >= 0:
                 if self.lo < self.hi:
-                    out += [Chunks(path, g, self.hi, self.ref_id) for g in self._groups(index.chunks(self.ref_id, self.lo, min(self.hi, 1 << 29)))]
+                    out += [Chunks(path, g, None, self.hi, self.ref_id) for g in self._groups(index.chunks(self.ref_id, self.lo, min(self.hi, 1 << 29)))]
                 continue
             cuts, last = [], 0
             for start in index.starts():  # the whole file, cut where records begin
@@ -131,11 +178,16 @@ class AlignmentReader(DataSourceReader):
 
     def _records(self, part: Chunks) -> Iterator[tuple[bytes | None, Header, str | None]]:
         with files.open_input(part.path) as f:
-            head = Reader(f)
+            head = Reader(f, window=64 << 10 if part.chunks[:1] != [(-1, None)] else 1 << 20)
             header = Header.from_binary(head.read)
-            for start, end in part.chunks:
-                r = head if start < 0 else Reader(f, start)
-                while end is None or r.tell() < end:
+            chunks = part.chunks
+            if part.piece and (after := head.next()) is not None:
+                low, high = part.piece
+                first = after if low << 16 < after else first_record(f, low, high, header.n_references)  # the header may end in this piece
+                chunks = [(first, high << 16)] if first is not None else []
+            for start, end in chunks:
+                r = head if start < 0 else Reader(f, start, 1 << 20 if end is None else min(1 << 20, (end >> 16) - (start >> 16) + (64 << 10)))
+                while end is None or (at := r.next()) is not None and at < end:
                     size = r.read(4)
                     if not size:
                         break

@@ -2,13 +2,12 @@
 
 ``spark.read.format("bgzf_blocks")``: path, coffset, bsize, isize, crc32, data. Option ``chunks``
 (``start-end,...`` virtual offsets, sorted and disjoint) reads only those, clipped to them;
-``splitSize`` cuts files at block starts, found by a pass over block headers; ``requireEof`` makes
+``splitSize`` cuts files (each task finds its first block by itself); ``requireEof`` makes
 a missing end block an error. Writing takes ``data`` (and ``coffset`` or row order) a row a block.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from helixframe.sources import files
-from helixframe.sources.bgzf_codec import END, BlockError, Buffered, Writer, load
+from helixframe.sources.bgzf_codec import END, BlockError, Buffered, Writer, load, next_block
 from helixframe.sources.staging import Part, Staging
 
 SCHEMA = "path string, coffset bigint, bsize int, isize int, crc32 bigint, data binary"
@@ -32,6 +31,7 @@ class Span(InputPartition):
     path: str
     start: int
     end: int
+    seek: bool = False  # from the first block that begins after start
 
 
 def parse_chunks(text: str) -> list[tuple[int, int]]:
@@ -41,17 +41,6 @@ def parse_chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def block_starts(f) -> Iterator[tuple[int, int]]:
-    """Offset and size of each block, by headers alone."""
-    at = 0
-    while head := f.read_at(18, at):
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-            raise BlockError(f"no block at {at}")
-        size = struct.unpack_from("<H", head, 16)[0] + 1 if head[12:14] == b"BC" else load(f, at).size
-        yield at, size
-        at += size
-
-
 class BlockReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         o = {k.lower(): v for k, v in options.items()}
@@ -69,19 +58,16 @@ class BlockReader(DataSourceReader):
                 size = files.size(path)
                 if self.need_end and f.read_at(len(END), max(0, size - len(END))) != END:
                     raise BlockError(f"{path} lacks the end block")
-                cuts = [0]
-                if size > self.split:
-                    for at, _ in block_starts(f):
-                        if at - cuts[-1] >= self.split:
-                            cuts.append(at)
-                out += [Span(path, a << 16, b << 16) for a, b in zip(cuts, [*cuts[1:], size])]
+                out += [Span(path, a << 16, min(a + self.split, size) << 16, a > 0) for a in range(0, max(size, 1), self.split)]
         return out
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         with files.open_input(partition.path) as f:
             f, at, held, size = Buffered(f), partition.start >> 16, [], 0
+            if partition.seek and (at := next_block(f, at, partition.end >> 16)) is None:
+                return
             while (at << 16) < partition.end and (b := load(f, at)) is not None:
-                lo = partition.start & 0xFFFF if at == partition.start >> 16 else 0
+                lo = partition.start & 0xFFFF if at == partition.start >> 16 and not partition.seek else 0
                 hi = partition.end & 0xFFFF if at == partition.end >> 16 else len(b.contents)
                 held.append((partition.path, at, b.size, len(b.contents), b.crc32, b.contents[lo:hi]))
                 at, size = at + b.size, size + len(b.contents)

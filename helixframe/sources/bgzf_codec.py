@@ -69,6 +69,22 @@ def load(f, offset: int) -> Block | None:
     return Block(offset, size, contents, crc)
 
 
+def next_block(f, at: int, end: int) -> int | None:
+    """Where the first block at or after a file offset begins, if that is before ``end``: what looks
+    like one has to inflate to its checksum, and so has the block after it."""
+    raw, i = f.read_at(2 * MOST, at), -1
+    while (i := raw.find(b"\x1f\x8b\x08\x04", i + 1)) >= 0 and at + i < end:
+        try:
+            b = load(f, at + i)
+            load(f, at + i + b.size)
+            return at + i
+        except BlockError:
+            pass
+    if i < 0 and len(raw) == 2 * MOST and at + len(raw) < end:
+        raise BlockError(f"no block after {at}")
+    return None
+
+
 def blocks_for(contents: bytes, level: int = 6) -> list[bytes]:
     """Contents as one block, or as several if compression leaves them too large."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
@@ -114,6 +130,10 @@ class Reader:
             return (self.at + self.block.size) << 16
         return (self.at << 16) | self.within
 
+    def next(self) -> int | None:
+        """The virtual offset of the next byte, beyond empty blocks; None at the file's end."""
+        return self.tell() if self._fill() else None
+
     def read(self, n: int) -> bytes:
         """n bytes, or fewer at the file's end."""
         parts = []

@@ -2,7 +2,10 @@
 
 import os
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from helixframe.functions import tags
 from helixframe.operators import pairs, records, regions
 from helixframe.operators.regions import Region
 from helixframe.plans import fixture as fx
-from helixframe.sources import bam, bgzf_codec, files, sam
+from helixframe.sources import bam, bgzf, bgzf_codec, files, sam
 from helixframe.sources.header import Header
 
 HEAD = Header("@HD\tVN:1.6\n@SQ\tSN:chr1\tLN:1000\n@SQ\tSN:chr2\tLN:500\n")
@@ -155,6 +158,74 @@ def test_overwrite_and_setters(spark, data, tmp_path):
     assert rows.select(tags.get("tags", "RG")["s"]).first()[0]
 
 
+def test_files_are_cut_without_an_index(spark, indexed, tmp_path):
+    path, _ = indexed
+    want = sorted(map(tuple, read(spark, path).select("qname", "start", "cigar", "seq").collect()))
+    df = read(spark, path, splitSize="20000")
+    assert df.rdd.getNumPartitions() > 5 and sorted(map(tuple, df.select("qname", "start", "cigar", "seq").collect())) == want
+    # the same bytes in blocks that end anywhere, with empty ones between
+    with files.open_input(files.listing(path, ".bam")[0]) as f:
+        raw = bgzf_codec.Reader(f).read(1 << 30)
+    rnd, at = random.Random(3), 0
+    with open(tmp_path / "any.bam", "wb") as out:
+        while at < len(raw):
+            n = rnd.choice([0, 1, 30, 700, 5000, 60_000])
+            out.write(b"".join(bgzf_codec.blocks_for(raw[at : at + n])))
+            at += n
+        out.write(bgzf_codec.END)
+    for split in (300, 5000, 70_001):
+        reader = bam.AlignmentReader({"path": str(tmp_path / "any.bam"), "splitSize": str(split)})
+        got = [b[i].as_py() for p in reader.partitions() for t in reader.read(p) for b in [t.column("qname")] for i in range(len(b))]
+        assert sorted(got) == [x[0] for x in want]
+
+
+FAILS = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from pyspark import TaskContext
+sys.path.insert(0, sys.argv[1])
+from helixframe.plans import fixture as fx
+from helixframe.sources import bam, register
+spark = register(SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate())
+def first_fails(batches):
+    for b in batches:
+        yield b
+    if TaskContext.get().attemptNumber() == 0:
+        raise ValueError("lost")
+rows = fx.records(spark, sys.argv[2]).repartition(3)
+rows = rows.select(*[F.lit(None).cast("string").alias(c) if c == "_corrupt" else F.col(c) for c in bam._NAMES])
+n = rows.count()
+for mode, want in (("append", n), ("overwrite", n), ("overwrite", n)):
+    rows.mapInArrow(first_fails, rows.schema).write.format("alignments_bam").options(header=fx.header(spark, sys.argv[2]).text()).mode(mode).save(sys.argv[3] + "/bam")
+    assert spark.read.format("alignments_bam").load(sys.argv[3] + "/bam").count() == want
+blocks = spark.range(10).select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("coffset"), F.lit(0).alias("bsize"), F.lit(0).alias("isize"), F.lit(0).cast("bigint").alias("crc32"), F.col("id").cast("string").cast("binary").alias("data"))
+for mode, want in (("overwrite", 10), ("overwrite", 10), ("append", 20)):
+    blocks.mapInArrow(first_fails, blocks.schema).write.format("bgzf_blocks").mode(mode).save(sys.argv[3] + "/bgzf")
+    assert spark.read.format("bgzf_blocks").load(sys.argv[3] + "/bgzf").filter("isize > 0").count() == want
+print("as many as written")
+"""
+
+
+def test_failed_attempts_leave_nothing(data, tmp_path):
+    out = subprocess.run([sys.executable, "-c", FAILS, os.path.dirname(os.path.dirname(os.path.abspath(__file__))), data, str(tmp_path)], capture_output=True, text=True, timeout=300)
+    assert "as many as written" in out.stdout, out.stderr[-2000:]
+    assert sorted({n.split("-")[0] for n in os.listdir(tmp_path / "bam")}) == ["part"]
+
+
+def test_only_committed_attempts_are_seen(tmp_path):
+    w = bgzf.BlockWriter({"path": str(tmp_path / "b")}, False)
+    batch = pa.RecordBatch.from_pydict({"data": [b"x"]})
+    one, two = w.write(iter([batch])), w.write(iter([batch]))  # as a speculative copy of a task does
+    with pytest.raises(FileNotFoundError):
+        files.listing(str(tmp_path / "b"), "")
+    w.commit([two])
+    assert os.listdir(tmp_path / "b") == two.names and one.names != two.names
+    w = bgzf.BlockWriter({"path": str(tmp_path / "b")}, True)
+    w.write(iter([batch]))
+    w.abort([None])  # as a job does that was told of nothing
+    assert os.listdir(tmp_path / "b") == two.names
+
+
 def test_text_stream(spark, tmp_path):
     from helixframe.streaming import read_text_stream
 
