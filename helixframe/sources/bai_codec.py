@@ -74,6 +74,12 @@ class Index:
         """Virtual offsets at which records begin."""
         return sorted({a for bins, _ in self.refs for b, chunks in bins.items() if b != SUMMARY_BIN for a, _ in chunks})
 
+    def summary(self, spark: SparkSession) -> DataFrame:
+        """ref_id, vstart, vend, n_mapped, n_unmapped: what the index says of each reference that has
+        a summary bin; the row without ref_id has the number of records without a place (or NULL)."""
+        rows = [(r, *pair[0], *pair[1]) for r, (bins, _) in enumerate(self.refs) if len(pair := bins.get(SUMMARY_BIN, ())) == 2]
+        return spark.createDataFrame([*rows, (None, None, None, None, self.n_unmapped)], "ref_id int, vstart bigint, vend bigint, n_mapped bigint, n_unmapped bigint")
+
     def df(self, spark: SparkSession) -> DataFrame:
         """ref_id, bin, vstart, vend."""
         rows = [(r, b, s, e) for r, (bins, _) in enumerate(self.refs) for b, chunks in bins.items() if b != SUMMARY_BIN for s, e in chunks]

@@ -5,8 +5,8 @@ record of its piece by itself, or with an index by that. Filters on
 ``ref_id``, ``start`` and ``end`` choose chunks by the index; every filter is still applied by
 Spark. Options: ``index`` (true: use ``<file>.bai``), ``baiPath``, ``modificationTime`` (error,
 ignore or warn, for an index older than its file), ``mode`` (FAILFAST, DROPMALFORMED, PERMISSIVE),
-``strict`` (a mapped record has a reference, an unmapped has none), ``columns`` (decode no tags
-unless named), ``splitSize`` (compressed bytes of a partition).
+``strict`` (a mapped record has a reference, an unmapped has none), ``columns`` (text columns and
+tags that aren't named are not decoded, and NULL), ``splitSize`` (compressed bytes of a partition).
 
 Writing: a file for each task, which is seen once the job is committed. Options: ``header`` (its text), ``compressionLevel``,
 ``index`` (true: write ``.bai`` files; the rows of a task have to be in order), ``writeHeader``.
@@ -28,6 +28,7 @@ from helixframe.sources import files
 from helixframe.sources.bai_codec import Builder, Index, merge
 from helixframe.sources.bgzf_codec import BlockError, Buffered, Reader, Writer, load, next_block
 from helixframe.sources.header import Header
+from helixframe.sources.record_batch import decode_batch, encode_batch
 from helixframe.sources.record_codec import RecordError, decode, encode, place
 from helixframe.sources.staging import Part, Staging
 
@@ -125,7 +126,7 @@ class AlignmentReader(DataSourceReader):
         if self.mode not in ("FAILFAST", "DROPMALFORMED", "PERMISSIVE"):
             raise ValueError("mode is one of FAILFAST, DROPMALFORMED, PERMISSIVE")
         self.strict = get("strict", "false").lower() == "true"
-        self.tags = "columns" not in self.options or "tags" in [c.strip() for c in self.options["columns"].split(",")]
+        self.wanted = {c.strip() for c in self.options["columns"].split(",")} if "columns" in self.options else set(_NAMES)
         self.split = int(get("splitsize", str(64 << 20)))
         self.ref_id: int | None = None
         self.lo, self.hi = 0, (1 << 31) - 1
@@ -206,27 +207,40 @@ class AlignmentReader(DataSourceReader):
                     yield raw, header, None
 
     def read(self, partition: Chunks) -> Iterator[pa.RecordBatch]:
+        """Batches of records, each a column at a time; one by one where that doesn't do."""
+        held: list[bytes] = []
+        if not partition.path:
+            return
+        names, broken = [], None
+        try:
+            for raw, header, _ in self._records(partition):
+                names = header.names
+                held.append(raw)
+                if len(held) == BATCH:
+                    yield self._batch(held, names)
+                    held = []
+        except (BlockError, RecordError) as e:  # the rest of the stream can't be found
+            if self.mode == "FAILFAST":
+                raise
+            broken = str(e)
+        if held:
+            yield self._batch(held, names)
+        if broken and self.mode == "PERMISSIVE":
+            yield pa.RecordBatch.from_pylist([{"_corrupt": broken}], schema=ARROW)
+
+    def _batch(self, raws: list[bytes], names: list[str]) -> pa.RecordBatch:
+        if (out := decode_batch(raws, names, self.strict, self.wanted, ARROW)) is not None:
+            return out
         rows: list[dict] = []
-        if partition.path:
+        for raw in raws:
             try:
-                for raw, header, _ in self._records(partition):
-                    try:
-                        rows.append(decode(raw, header.names, self.strict, self.tags))
-                    except RecordError as e:
-                        if self.mode == "FAILFAST":
-                            raise
-                        if self.mode == "PERMISSIVE":
-                            rows.append({"_corrupt": str(e)})
-                    if len(rows) >= BATCH:
-                        yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-                        rows = []
-            except (BlockError, RecordError) as e:  # the rest of the stream can't be found
+                rows.append(decode(raw, names, self.strict, "tags" in self.wanted))
+            except RecordError as e:
                 if self.mode == "FAILFAST":
                     raise
                 if self.mode == "PERMISSIVE":
                     rows.append({"_corrupt": str(e)})
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+        return pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
 
 class AlignmentWriter(DataSourceArrowWriter):
@@ -249,12 +263,17 @@ class AlignmentWriter(DataSourceArrowWriter):
                 w.write(self.header.binary())
                 w.flush()  # records begin in a block of their own
             for batch in iterator:
-                for row in batch.to_pylist():
-                    raw = encode(row)
-                    start = w.write(raw)
-                    if builder:
-                        builder.add(-1 if row["flag"] & 4 and row["ref_id"] < 0 else row["ref_id"], row["start"], row["end"], start, w.tell())
-                    rows += 1
+                made = encode_batch(batch)
+                raws, ends = made if made else ([encode(row) for row in batch.to_pylist()], batch.column(batch.schema.get_field_index("end")).to_numpy(zero_copy_only=False))
+                if builder:
+                    places = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ref_id", "start"))
+                    for raw, ref_id, at, end in zip(raws, *places, ends.tolist()):
+                        start = w.write(raw)
+                        builder.add(ref_id, at, end, start, w.tell())
+                else:
+                    for raw in raws:
+                        w.write(raw)
+                rows += len(raws)
             w.finish()
         if builder:
             with files.open_output(f"{path}.bai") as out:

@@ -155,3 +155,45 @@ def test_index_round_trip():
 
 def test_merge():
     assert merge([(0, 10), (5, 12), (12, 20), (30, 40), (31, 33)]) == [(0, 20), (30, 40)]
+
+
+def test_batches_are_as_single_records():
+    """Columns at a time and records one by one give the same bytes and rows."""
+    import random
+
+    import pyarrow as pa
+
+    from helixframe.sources import bam
+    from helixframe.sources.record_batch import decode_batch, encode_batch
+    from helixframe.sources.record_codec import decode, encode
+
+    rnd, rows = random.Random(6), []
+    names = ["a", "b", "c"]
+    tags = [("NM", "i", None, -5, None, None, None, None), ("XA", "A", None, None, None, "q", None, None), ("XF", "f", None, None, 0.5, None, None, None), ("XZ", "Z", None, None, None, "tëxt", None, None), ("XH", "H", None, None, None, "0AFF", None, None), ("XB", "B", "S", None, None, None, [1, 2, 65535], None), ("XG", "B", "f", None, None, None, None, [0.25, -1.0])]
+    for i in range(500):
+        n = rnd.choice([0, 1, 2, 3, 17, 100])
+        cigar = rnd.choice(["*", "5M", f"{n}M" if n else "*", "3S2M1I4D10N2=1X7H", "2P3M"])
+        seq, qual = "".join(rnd.choices("ACGTNacgt=", k=n)) or "*", rnd.choice([None, "".join(chr(33 + rnd.randrange(94)) for _ in range(n))]) if n else None
+        if qual and qual[0] == chr(33 + 222):
+            qual = None
+        own = [dict(zip(("name", "type", "subtype", "i", "f", "s", "ia", "fa"), t)) for t in rnd.sample(tags, rnd.randrange(4))]
+        ref = rnd.randrange(-1, 3)
+        rows.append({"qname": "r" * rnd.randrange(0, 200) + str(i), "flag": rnd.randrange(65536), "ref_id": ref, "rname": None, "start": rnd.choice([-1, 0, 16383, 16384, rnd.randrange(1 << 28)]), "end": 0, "bin": 0, "mapq": rnd.randrange(256), "cigar": cigar, "mate_ref_id": rnd.randrange(-1, 3), "mate_start": rnd.randrange(-1, 99), "tlen": rnd.randrange(-9, 9), "seq": seq, "qual": qual, "tags": own, "_corrupt": None})
+    batch = pa.RecordBatch.from_pylist(rows, schema=bam.ARROW).slice(7)
+    raws, ends = encode_batch(batch)
+    want = [encode(r) for r in batch.to_pylist()]
+    assert [bytes(x) for x in raws] == want
+    bodies = [x[4:] for x in want]
+    one = pa.RecordBatch.from_pylist([decode(x, names) for x in bodies], schema=bam.ARROW)
+    every = set(bam._NAMES)
+    assert decode_batch(bodies, names, False, every, bam.ARROW).to_pylist() == one.to_pylist()
+    assert ends.tolist() == one.column("end").to_pylist()
+    part = decode_batch(bodies, names, False, {"seq"}, bam.ARROW)
+    assert part.column("seq") == one.column("seq") and part.column("tags").null_count == part.column("qname").null_count == len(bodies)
+    # what only single records can say
+    for bad in (bodies[0][:40], bodies[0][:-1] + b"", b"\x07" + bodies[0][1:]):
+        assert decode_batch([*bodies[1:], bad], names, False, every, bam.ARROW) is None
+    for name, value in (("seq", "ACU"), ("cigar", "0M"), ("mapq", 300), ("start", -2), ("qual", "!"), ("qname", "x" * 255)):
+        odd = {**rows[50], "seq": "ACG", "qual": None, name: value}
+        assert encode_batch(pa.RecordBatch.from_pylist([rows[1], odd], schema=bam.ARROW)) is None
+    assert encode_batch(batch.slice(0, 0))[0] == []
