@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from helixframe.operators import pairs, records, regions
 from helixframe.operators.regions import Region
 from helixframe.plans import fixture as fx
 from helixframe.runtime import scratch
-from helixframe.sources import bam, sam
+from helixframe.sources import bam, files, sam
 from helixframe.sources.header import Header
+from helixframe.streaming import read_text_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -306,3 +308,76 @@ def pileup_bases(spark, d):
 def record_setters(spark, d):
     df = records.set_cigar(records.set_place(records.set_flag(_a(spark, d), 7), start=F.col("start") + 10), "5M10D")
     return records.set_seq_qual(df, F.lower(F.substring("seq", 1, 5))).select("qname", "start", "end", "flag", "seq")
+
+
+@query("SELECT qname, start, start + 5 + start % 7 + 1 AS \"end\", '5M' || (start % 7 + 1) || 'D' AS cigar, 'ACGTN' AS seq, '!\"#' || chr(33 + mapq % 60) || 'I' AS qual FROM a")
+def raw_setters(spark, d):
+    """Fields from what files hold: 32-bit operations, 4-bit bases, qualities without their offset."""
+    words = F.array(F.lit(5 << 4), (F.col("start") % 7 + 1) * 16 + 2)
+    quals = F.unhex(F.concat(F.lit("000102"), F.lpad(F.hex(F.col("mapq") % 60), 2, "0"), F.lit("28")))
+    df = records.set_raw_seq_qual(records.set_raw_cigar(_a(spark, d), words), F.unhex(F.lit("1248F0")), quals, 5)
+    return df.select("qname", "start", "end", "cigar", "seq", "qual")
+
+
+@query(_ROW)
+def bam_cut_scan(spark, d):
+    """Files without an index, in many pieces."""
+    return _shown(spark.read.format("alignments_bam").option("splitSize", "50000").load(_written(spark, d, compressionLevel="1")))
+
+
+@query(f"{_ROW} WHERE a.ref_id = 2 AND start < 1400 AND \"end\" > 1000")
+def bam_region_fresh_index(spark, d):
+    """With the index's age checked, as it is by default, and its path named."""
+    path = scratch(spark, "bam")
+    rows = records.in_order(fx.records(spark, d), 1).withColumn("_corrupt", F.lit(None).cast("string"))
+    rows.select(*bam._NAMES).write.format("alignments_bam").options(header=fx.header(spark, d).text(), index="true").mode("append").save(path)
+    bai = f"{files.listing(path, '.bam')[0]}.bai"
+    return _shown(regions.fetch(spark.read.format("alignments_bam").option("index", "true").option("baiPath", bai).load(path), REGION, bam.read_header(path)))
+
+
+@query("SELECT qname, start, CAST(length(seq) AS INTEGER) AS isize FROM a WHERE length(seq) > 0")
+def bgzf_cut_scan(spark, d):
+    """Blocks of files that were overwritten, in many pieces, each from its first block on."""
+    path = scratch(spark, "bgzf")
+    rows = fx.alignments(spark, d).select(F.concat_ws("|", "qname", F.col("start").cast("string"), "seq").cast("binary").alias("data"))
+    rows = rows.select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("coffset"), F.lit(0).alias("bsize"), F.lit(0).alias("isize"), F.lit(0).cast("bigint").alias("crc32"), "data")
+    for part in (rows.limit(1), rows):
+        part.write.format("bgzf_blocks").mode("overwrite").save(path)
+    found = spark.read.format("bgzf_blocks").option("splitSize", "100000").load(path).filter("isize > 0")
+    f = F.split(F.col("data").cast("string"), "\\|")
+    return found.select(f[0].alias("qname"), f[1].cast("int").alias("start"), F.length(f[2]).alias("isize"))
+
+
+@query(f"SELECT qname, start, mate_start, start < mate_start + 100 AND mate_start < start + 100 AS meet, CASE WHEN start <= mate_start + 100 AND mate_start <= start + 100 THEN least(start, mate_start) ELSE -1 END AS vstart, CASE WHEN start <= mate_start + 100 AND mate_start <= start + 100 THEN greatest(start, mate_start) + 100 ELSE -1 END AS vend, start = mate_start AS same, start < mate_start AS before, length(seq) > 0 AS has_seq, qual IS NOT NULL AS has_qual, translate({_TR.format('seq')}, '=MRSVWYHKDB', 'NNNNNNNNNNN') AS compl_acgtn FROM a")
+def predicates_of_chunks_and_sequences(spark, d):
+    s, m = F.col("start"), F.col("mate_start")
+    both = binning.chunks_combine(s, s + 100, m, m + 100)
+    return _a(spark, d).select("qname", "start", "mate_start", binning.chunks_intersect(s, s + 100, m, m + 100).alias("meet"), F.coalesce(both["vstart"], F.lit(-1)).alias("vstart"), F.coalesce(both["vend"], F.lit(-1)).alias("vend"), (s == m).alias("same"), (s < m).alias("before"), sequences.available().alias("has_seq"), F.col("qual").isNotNull().alias("has_qual"), sequences.acgtn_only(sequences.complement()).alias("compl_acgtn"))
+
+
+@query("SELECT qname, start, 0 AS nth, 'NM' AS name, 'C' AS kind, CAST(tag_nm AS VARCHAR) AS shown FROM a UNION ALL SELECT qname, start, 1, 'RG', 'Z', tag_rg FROM a")
+def tags_in_order(spark, d):
+    x = F.posexplode("tags").alias("nth", "x")
+    return _tags(spark, d).select("qname", "start", x).select("qname", "start", "nth", F.col("x.name").alias("name"), F.col("x.type").alias("kind"), F.coalesce(F.col("x.i").cast("string"), F.col("x.s")).alias("shown"))
+
+
+@query("SELECT qname, start, 'XA:A:q' || chr(9) || 'Xc:i:' || mapq - 100 || chr(9) || 'XZ:Z:' || qname || chr(9) || 'XH:H:0AFF' || chr(9) || 'XB:B:I,' || start || ',1' AS shown FROM a")
+def tag_kinds_roundtrip(spark, d):
+    """Tags of every kind through a binary file."""
+    path = scratch(spark, "bam")
+    own = F.array(tags.tag("XA", "A", s=F.lit("q")), tags.tag("Xc", "s", i=(F.col("mapq") - 100).cast("bigint")), tags.tag("XZ", "Z", s=F.col("qname")), tags.tag("XH", "H", s=F.lit("0AFF")), tags.tag("XB", "B", subtype=F.lit("I"), ia=F.array(F.col("start").cast("bigint"), F.lit(1).cast("bigint"))))
+    rows = fx.records(spark, d).withColumn("tags", own).withColumn("_corrupt", F.lit(None).cast("string")).select(*bam._NAMES)
+    rows.write.format("alignments_bam").options(header=fx.header(spark, d).text(), compressionLevel="1").mode("append").save(path)
+    return spark.read.format("alignments_bam").option("columns", "qname,tags").load(path).select("qname", "start", tags.sam_text("tags").alias("shown"))
+
+
+@query(_ROW)
+def sam_stream(spark, d):
+    """Text files that arrive in a folder, as a stream that ends when it has caught up."""
+    path, name = scratch(spark, "sam"), f"sam_stream_{uuid.uuid4().hex}"
+    head = fx.header(spark, d)
+    sam.write(fx.records(spark, d), path, head)
+    to = scratch(spark, "stream")
+    rows = read_text_stream(spark, path, head)
+    rows.writeStream.format("parquet").queryName(name).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start(to).awaitTermination()
+    return _shown(spark.read.schema(rows.schema).parquet(to))

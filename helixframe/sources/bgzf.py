@@ -3,7 +3,7 @@
 ``spark.read.format("bgzf_blocks")``: path, coffset, bsize, isize, crc32, data. Option ``chunks``
 (``start-end,...`` virtual offsets, sorted and disjoint) reads only those, clipped to them;
 ``splitSize`` cuts files (each task finds its first block by itself); ``requireEof`` makes
-a missing end block an error. Writing takes ``data`` (and ``coffset`` or row order) a row a block.
+a missing end block an error; ``compressed`` adds the block's own bytes as a column. Writing takes ``data`` (and ``coffset`` or row order) a row a block.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ class BlockReader(DataSourceReader):
         o = {k.lower(): v for k, v in options.items()}
         self.path, self.split = o["path"], int(o.get("splitsize", str(64 << 20)))
         self.chunks = parse_chunks(o["chunks"]) if "chunks" in o else None
+        self.compressed = o.get("compressed", "false").lower() == "true"
         self.need_end = o.get("requireeof", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
@@ -69,7 +70,7 @@ class BlockReader(DataSourceReader):
             while (at << 16) < partition.end and (b := load(f, at)) is not None:
                 lo = partition.start & 0xFFFF if at == partition.start >> 16 and not partition.seek else 0
                 hi = partition.end & 0xFFFF if at == partition.end >> 16 else len(b.contents)
-                held.append((partition.path, at, b.size, len(b.contents), b.crc32, b.contents[lo:hi]))
+                held.append((partition.path, at, b.size, len(b.contents), b.crc32, b.contents[lo:hi], *([f.read_at(b.size, at)] if self.compressed else [])))
                 at, size = at + b.size, size + len(b.contents)
                 if len(held) == ROWS or size >= BYTES:
                     yield self._batch(held)
@@ -78,7 +79,8 @@ class BlockReader(DataSourceReader):
                 yield self._batch(held)
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+        schema = _ARROW.append(pa.field("compressed", pa.binary())) if self.compressed else _ARROW
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 class BlockWriter(DataSourceArrowWriter):
@@ -111,7 +113,7 @@ class BlockSource(DataSource):
         return "bgzf_blocks"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", compressed binary" if self.options.get("compressed", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return BlockReader(self.options)

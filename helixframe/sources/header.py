@@ -88,14 +88,14 @@ class Header:
         self.names: list[str] = []
         self.lengths: list[int] = []
         self.ids: dict[str, int] = {}
-        for line in text.splitlines():
-            if line:
+        for line in text.split("\n"):
+            if line := line.removesuffix("\r"):
                 self.push_line(line)
 
     def push_entry(self, entry: Entry) -> Header:
         if entry.kind == "SQ":
             name, length = entry.get("SN"), entry.get("LN")
-            if name is None or length is None or not length.isdigit():
+            if name is None or length is None or not (length.isascii() and length.isdigit()):
                 raise HeaderError("a reference line needs SN and a whole LN")
             if not 0 < int(length) < 1 << 32:
                 raise HeaderError("a reference's length has to be positive, under 2**32")

@@ -197,3 +197,12 @@ def test_batches_are_as_single_records():
         odd = {**rows[50], "seq": "ACG", "qual": None, name: value}
         assert encode_batch(pa.RecordBatch.from_pylist([rows[1], odd], schema=bam.ARROW)) is None
     assert encode_batch(batch.slice(0, 0))[0] == []
+
+
+def test_header_lines_end_at_line_feeds_only():
+    from helixframe.sources.header import Header, HeaderError
+
+    h = Header("@HD\tVN:1.6\r\n@CO\tone\u2028two\x85three\x0cfour\n@SQ\tSN:a\tLN:5\n")
+    assert h.n_references == 1 and "one\u2028two\x85three\x0cfour" in h.text()
+    with pytest.raises(HeaderError):
+        Header("@SQ\tSN:a\tLN:\u00b2\n")

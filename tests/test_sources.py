@@ -135,6 +135,8 @@ def test_blocks(spark, tmp_path):
     df = spark.read.format("bgzf_blocks").option("splitSize", "100").load(str(tmp_path / "x.gz"))
     rows = sorted(df.filter("isize > 0").collect(), key=lambda r: r["coffset"])
     assert [bytes(r["data"]) for r in rows] == raw and df.rdd.getNumPartitions() > 3
+    whole = spark.read.format("bgzf_blocks").option("compressed", "true").load(str(tmp_path / "x.gz")).orderBy("coffset").collect()
+    assert b"".join(bytes(r["compressed"]) for r in whole) == (tmp_path / "x.gz").read_bytes()
     a, b = rows[3]["coffset"], rows[5]["coffset"]
     part = spark.read.format("bgzf_blocks").option("chunks", f"{(a << 16) + 7}-{(b << 16) + 9}").load(str(tmp_path / "x.gz")).collect()
     assert b"".join(bytes(r["data"]) for r in sorted(part, key=lambda r: r["coffset"])) == raw[3][7:] + raw[4] + raw[5][:9]
@@ -226,6 +228,42 @@ def test_only_committed_attempts_are_seen(tmp_path):
     assert os.listdir(tmp_path / "b") == two.names
 
 
+def test_index_summary(spark):
+    from helixframe.functions.binning import SUMMARY_BIN
+    from helixframe.sources.bai_codec import Index
+
+    index = Index([({SUMMARY_BIN: [(100, 900), (7, 2)], 0: [(100, 900)]}, [100]), ({}, [])], 5)
+    again = Index.parse(index.binary())
+    got = again.summary(spark).collect()
+    assert [tuple(r) for r in got] == [(0, 100, 900, 7, 2), (None, None, None, None, 5)]
+    assert Index.parse(index.binary()[:-8]).summary(spark).filter("ref_id is null").first()["n_unmapped"] is None
+
+
+def test_regions_of_all_lengths(spark, data):
+    rnd = random.Random(9)
+    rows = fx.records(spark, data).cache()
+    rs = [(i, rnd.randrange(5), s, s + rnd.choice([0, 1, 40, 1023, 1024, 1025, 5000, 90_000])) for i in range(60) for s in [rnd.randrange(100_000)]]
+    df = spark.createDataFrame(rs, "region_id int, ref_id int, start int, end int")
+    plain = [(r["qname"], r["ref_id"], r["start"], r["end"]) for r in rows.select("qname", "ref_id", "start", "end").collect()]
+    want = sorted((i, q) for i, ref, s, e in rs for q, a, b, c in plain if a == ref and b < e and c > s)
+    for most in (1000, 10):  # broadcast, and by a shuffle
+        assert sorted(map(tuple, regions.fetch_many(rows, df, most).select("region_id", "qname").collect())) == want
+    assert regions.fetch_many(rows, df.limit(0)).count() == 0
+
+
+def test_raw_setters_say_no(spark, data):
+    rows = fx.records(spark, data).limit(5)
+    for packed, quals, n in (("12", None, 4), ("1248", "0102", 4), ("12488F", "0102030405", 4)):
+        with pytest.raises(Exception, match="go together"):
+            records.set_raw_seq_qual(rows, F.unhex(F.lit(packed)), None if quals is None else F.unhex(F.lit(quals)), n).collect()
+    r = records.set_raw_seq_qual(rows, F.unhex(F.lit("1248")), F.unhex(F.lit("FFFFFFFF")), 4).first()
+    assert (r["seq"], r["qual"]) == ("ACGT", None)
+    assert records.set_raw_seq_qual(rows, F.unhex(F.lit("")), None, 0).first()["seq"] == "*"
+    with pytest.raises(Exception, match="no alignment"):
+        records.set_raw_cigar(rows, F.array(F.lit(16 * 3 + 9))).collect()
+    assert records.set_raw_cigar(rows, F.array(F.lit(0))).first()["cigar"] == "*"
+
+
 def test_text_stream(spark, tmp_path):
     from helixframe.streaming import read_text_stream
 
