@@ -1,4 +1,8 @@
-"""The registered queries of this subpackage: each applies an operator to its whole table."""
+"""The registered queries of this subpackage: each applies an operator to its whole table.
+
+What they give for nulls, empty and very long texts, ties, repeated rows and empty tables is what their
+operators say; columns that an operator doesn't name are never read.
+"""
 
 from __future__ import annotations
 
@@ -21,28 +25,34 @@ def vocabulary(name: str) -> str:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by Jaccard similarity of 0.8 of five-word shingles."""
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence passages of documents, by a Dice coefficient of 0.8."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of documents."""
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back by their index."""
     index = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents by a model of nine tenths of them (null ids are learned from)."""
     return lm.score(_table(spark, sf_dir, "documents"), _remainder(10) == 0)
 
 
@@ -51,20 +61,24 @@ def _remainder(of: int):
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents by a model of three quarters of those with a label (rows of null id are not learned from)."""
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(_remainder(4) != 2), language.load_pieces(vocabulary("piece_bpe_32k.model")))
     return language.predict(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents that other documents, or the same one, have before."""
     return substrings.repeated_spans(_table(spark, sf_dir, "documents")).drop("_text")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in sequences of 2048 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of each document, their ids as a count and a checksum."""
     return sampling.sample_segmentations(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
 
 

@@ -238,4 +238,6 @@ def test_decoding_gives_texts_back(docs, odd):
 
 
 def test_sampling_empty(empty):
+    path = vocabulary("piece_bpe_32k.model")
+    assert sampling.decode(sampling.sample_segmentations(empty, path), path).count() == 0
     assert sampling.sample_segmentations(empty, vocabulary("piece_bpe_32k.model")).count() == 0

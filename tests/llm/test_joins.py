@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import components, jaccard, substrings
+from helixframe.llm import components, hot, jaccard, substrings
+from tests_llm_brute import repeats_of
 
 
 def brute(rows, k=5, t=80):
@@ -55,6 +56,41 @@ def test_jaccard_brute(spark, docs, monkeypatch, small, block, args):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_hot_keys_are_dealt_out(spark, docs, monkeypatch):
+    rows = [(i, k, i % 7) for i, k in enumerate([1] * 300 + [2] * 40 + list(range(3, 60)))]
+    df = spark.createDataFrame(rows, "id int, k int, v int")
+    side = df.groupBy("k").agg(F.count("*").alias("n")).filter("k <> 5").withColumn("x", F.col("k") * 2)
+    want = sorted((i, k, v, 2 * k) for i, k, v in rows if k != 5)
+    for least, most in ((1000, 100_000), (10, 20), (1, 1000)):
+        monkeypatch.setattr(hot, "LEAST", least)
+        monkeypatch.setattr(hot, "MOST", most)
+        got = hot.join_hot(df, side, "k", "n", len(rows), "id")
+        assert sorted((r["id"], r["k"], r["v"], r["x"]) for r in got.collect()) == want
+        got = hot.join_hot(df, side, ["k"], "n", len(rows), "id", "left")
+        assert sorted((r["id"], r["x"]) for r in got.collect() if r["k"] != 5) == [(i, x) for i, _, _, x in want] and got.count() == len(rows)
+    # the same through the whole operator, with copies and near copies beyond any threshold
+    monkeypatch.setattr(hot, "LEAST", 2)
+    monkeypatch.setattr(hot, "MOST", 10)
+    monkeypatch.setattr(jaccard, "SHARE", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    base, rnd = [f"w{i}" for i in range(60)], random.Random(1)
+    rows = [(i, " ".join(base)) for i in range(30)]
+    for i in range(30, 90):
+        w = list(base)
+        w[rnd.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"y{i}z{j}" for j in range(20))) for i in range(20)] + [(200, None), (201, " ")]
+    assert sorted(map(tuple, jaccard.jaccard_components(docs(rows)).collect())) == brute(rows)
+
+
+def test_leaves_end_the_search(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "DEPTH", 0)
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rows = corpus(3, 4, 25, 4)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs(rows)).collect())) == brute(rows)
+
+
 def test_jaccard_edges(odd, empty):
     got = collections.Counter(map(tuple, jaccard.jaccard_components(odd).collect()))
     assert got[(1, 0, 1)] == got[(2, 0, 2)] == got[(3, 0, 3)] == 1 and got[(4, 1, 4)] == 2 and got[(6, 1, 6)] == 1
@@ -86,34 +122,6 @@ def test_components(spark):
     assert {x: root(x) for x in up if root(x) != x} == {x: r for x, r in got.items() if x != r}
 
 
-def spans_brute(rows, least):
-    """Spans by the plain reading of the rules, with units cut as the operator cuts them."""
-    import pyarrow as pa
-
-    occ = collections.defaultdict(list)
-    units = []
-    for d, x in sorted(rows):
-        if x is None:
-            continue
-        b = pa.RecordBatch.from_pydict({"doc_id": [d], "text": [x], "_text": [0]}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("_text", pa.int64())]))
-        for out in substrings._units(iter([b])):
-            for _, place, words, chars in zip(out["d1"].to_pylist(), out["place"].to_pylist(), out["words"].to_pylist(), out["chars"].to_pylist()):
-                s, e = chars >> 32, chars & 0xFFFFFFFF
-                key = " ".join(x[s:e].encode().lower().decode().split())
-                units.append((d, place >> 1, words >> 32, words & 0xFFFFFFFF, s, e, key))
-                occ[key].append((d, place >> 1))
-    out, run = [], []
-    for u in [*units, None]:
-        gone = u is not None and (u[0], u[1]) != min(occ[u[6]])
-        if run and (not gone or run[-1][0] != u[0] or run[-1][1] + 1 != u[1]):
-            if run[-1][3] - run[0][2] >= least:
-                out.append((run[0][0], run[0][4], run[-1][5], run[-1][3] - run[0][2]))
-            run = []
-        if gone:
-            run.append(u)
-    return sorted(out)
-
-
 def test_spans_brute(docs):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choices("abcdeé", k=5))
@@ -127,7 +135,7 @@ def test_spans_brute(docs):
         rows.append((d, rnd.choice(["\n", " "]).join(own)))
     rows += [(100, rows[3][1]), (101, rows[3][1] + "\n" + rows[3][1])]
     got = sorted((r["doc_id"], r["start"], r["end"], r["n_words"]) for r in substrings.repeated_spans(docs(rows), 20).collect())
-    want = spans_brute(rows, 20)
+    want = sorted(repeats_of(rows, 20))
     assert got == want and len(want) > 10
     cleaned = {r["doc_id"]: r for r in substrings.remove_repeats(docs(rows), 20).collect()}
     cut = collections.defaultdict(list)

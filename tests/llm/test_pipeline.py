@@ -13,6 +13,20 @@ from helixframe.llm.queries import vocabulary
 from tests_llm_brute import components_of, cut_repeats_of
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, odd, empty, data):
+    good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    more = docs([(d, x, "en") for d, x in ((20, good), (21, good), (22, good), (22, good), (None, good + " end"), (23, " ".join(good.split()[::-1])))])
+    for df, last in ((odd.unionByName(more), {20, None, 23}), (odd, set()), (empty, set())):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, data).cache()
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == df.columns and out.dtypes == df.dtypes
+                assert {r["doc_id"] for r in out.select("doc_id").collect()} <= {r["doc_id"] for r in df.select("doc_id").collect()}
+            else:
+                assert {r["doc_id"] for r in out.collect()} == last
+            df = out
+
+
 def test_stages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}

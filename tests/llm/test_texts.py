@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,55 @@ def test_lm_fit_takes_all_blocks(docs):
     assert [got[0][i] for i in range(600)] == pytest.approx([got[1][(i + 300) % 600] for i in range(600)], rel=1e-9)
 
 
+def test_lm_score_by_dictionaries(monkeypatch):
+    """Blocks, slices and answers against plain counts; filters with room enough to be exact."""
+    monkeypatch.setattr(lm, "ENTRY_BITS", 512)
+    monkeypatch.setattr(lm, "FLUSH", 300)
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choices(["a", "B", "c", "d", "e"] + [f"w{j}" for j in range(30)], k=rnd.randrange(0, 25))), i % 5 == 0) for i in range(120)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "held": [r[2] for r in rows], "text": [r[1] for r in rows]})
+    blocks = [b.to_pandas() for b in lm._encode(batch.slice(i, 30) for i in range(0, 120, 30))]
+    assert len(blocks) > 2
+    counted = pd.concat(b.to_pandas() for b in lm._counts((pa.RecordBatch.from_pandas(x, preserve_index=False) for x in blocks), 4))
+    merged = pd.concat(lm._merge(g) for _, g in counted.groupby(["order", "bucket"]))
+    totals = merged[merged["block"] == -1]
+    model = lm.Model(int(totals["total"].sum()), int(totals["kinds"].sum()))
+    model.mix2, model.mix3 = np.linspace(0.2, 0.6, 64), np.linspace(0.3, 0.7, 64)
+    got = {}
+    for x in blocks:
+        seen = lm._answered(x, merged[(merged["block"] == x["block"].iloc[0])], model).iloc[0]
+        s = lm.Seen(seen)
+        got |= dict(zip(seen["ids"], np.add.reduceat(model.log10(s.counts), s.at)))
+    tokens = {d: [*x.lower().split(), "</s>"] for d, x, _ in rows}
+    n = collections.Counter()
+    for d, _, held in rows:
+        if not held:
+            t = ["<s>", "<s>", *tokens[d]]
+            n.update((w,) for w in tokens[d])
+            n.update(zip(t[1:], t[2:]))
+            n.update(zip(t, t[1:], t[2:]))
+            n[("<s>",)] += 1  # the context of a first word
+            n[("<s>", "<s>")] += 1
+    assert (model.tokens, model.kinds) == (sum(c for k, c in n.items() if len(k) == 1 and k != ("<s>",)), sum(len(k) == 1 for k in n) - 1)
+    said = lambda *k: int(lm.ESTIMATES[np.searchsorted(lm.LEVELS, n[k], "right") - 1]) if n[k] else 0
+    for d, ts in tokens.items():
+        t, total = ["<s>", "<s>", *ts], 0.0
+        for u, v, w in zip(t, t[1:], t[2:]):
+            p = (said(w) + 0.1) / (model.tokens + 0.1 * (model.kinds + 1))
+            y = model.mix2[int(math.log2(said(v) + 1))] if said(v) else 0
+            x = model.mix3[int(math.log2(said(u, v) + 1))] if said(u, v) else 0
+            r2, r3 = min(said(v, w) / max(said(v), said(v, w), 1), 1), min(said(u, v, w) / max(said(u, v), said(u, v, w), 1), 1)
+            total += math.log10(x * r3 + (1 - x) * (y * r2 + (1 - y) * p))
+        assert got[d] == pytest.approx(total, rel=1e-9)
+
+
+def test_lm_scores_do_not_depend_on_partitions(docs):
+    df, held = docs(texts(5, 120)), F.col("doc_id") % 10 == 0
+    got = [{r["doc_id"]: r["score"] for r in lm.score(df.repartition(n), held).collect()} for n in (1, 4, 40)]
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and got[0] == pytest.approx(got[2], rel=1e-9)
+
+
 def test_lm_fit_is_that_of_the_tokens():
     rnd = np.random.default_rng(5)
     r, low, kind = rnd.random(20_000) * (rnd.random(20_000) < 0.6), rnd.random(20_000) ** 4 + 1e-9, rnd.integers(0, 5, 20_000)

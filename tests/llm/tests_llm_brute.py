@@ -1,10 +1,7 @@
 """Brute-force versions that several tests share."""
 
 import collections
-
-import pyarrow as pa
-
-from helixframe.llm import substrings
+import re
 
 
 def components_of(rows, k=5, t=80):
@@ -30,26 +27,66 @@ def components_of(rows, k=5, t=80):
     return {d: root(d) for d in up}
 
 
-def cut_repeats_of(rows, least):
-    """Each document's text without runs of units that occur earlier, units as the operator cuts them."""
-    units, first = [], {}
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("_text", pa.int64())])
-    for d, x in sorted(rows):
-        for out in substrings._units(iter([pa.RecordBatch.from_pydict({"doc_id": [d], "text": [x], "_text": [0]}, schema=schema)])):
-            for place, words, chars in zip(*(out[c].to_pylist() for c in ("place", "words", "chars"))):
-                s, e = chars >> 32, chars & 0xFFFFFFFF
-                key = " ".join(x[s:e].encode().lower().decode().split())
-                first.setdefault(key, (d, place >> 1))
-                units.append((d, place >> 1, words >> 32, words & 0xFFFFFFFF, s, e, first[key] != (d, place >> 1)))
-    runs, run = collections.defaultdict(list), []
-    for u in [*units, None]:
-        if run and (u is None or not u[6] or u[0] != run[-1][0]):
-            if run[-1][3] - run[0][2] >= least:
-                runs[run[0][0]].append((run[0][4], run[-1][5]))
+_M = (1 << 64) - 1
+
+
+def _mix(x):
+    for _ in range(2):
+        x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & _M
+    return x ^ (x >> 32)
+
+
+_ODD = [_mix(i) | 1 for i in range(1000, 1032)]
+
+
+def word_hash(w):
+    total, power = len(w) * _ODD[31], 1
+    for b in w:
+        total += _mix((b + 1) * 0x9E3779B97F4A7C15 & _M) * power
+        power = power * 0xB5026F5AA96619E9 & _M
+    return _mix(total & _M)
+
+
+def units_of(x):
+    """Units of a text by the plain reading of the rules: (first word, past-last word, start, end, what is compared)."""
+    words = [(m[0].encode().lower(), m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", x)]
+    h = [word_hash(w) for w, _, _ in words]
+    near = [_mix((sum(h[i + k] * _ODD[k] for k in range(3)) + 3) & _M) for i in range(len(h) - 2)]
+    stops = {len(words)}
+    for i in range(1, len(words)):
+        if words[i - 1][0][-1:] in (b".", b"!", b"?") or "\n" in x[words[i - 1][2] : words[i][1]]:
+            stops.add(i)
+    for i in range(len(near) - 14):  # of 15 in a row the last of the least
+        least = min(near[i : i + 15])
+        stops.add(max(j for j in range(i, i + 15) if near[j] == least) + 3)
+    cuts = sorted(stops - {0})
+    return [(a, b, words[a][1], words[b - 1][2], b" ".join(w for w, _, _ in words[a:b])) for a, b in zip([0, *cuts], cuts)]
+
+
+def repeats_of(rows, least):
+    """Runs of units that occur earlier: (doc_id, start, end, words)."""
+    units = {d: units_of(x) for d, x in rows if x}
+    first, out = {}, []
+    for d in sorted(units):
+        for n, u in enumerate(units[d]):
+            first.setdefault(u[4], (d, n))
+    for d in sorted(units):
+        run = []
+        for n, u in enumerate([*units[d], None]):
+            if u is not None and first[u[4]] != (d, n):
+                run.append(u)
+                continue
+            if run and run[-1][1] - run[0][0] >= least:
+                out.append((d, run[0][2], run[-1][3], run[-1][1] - run[0][0]))
             run = []
-        if u is not None and u[6]:
-            run.append(u)
-    out = {}
+    return out
+
+
+def cut_repeats_of(rows, least):
+    """Each document's text without the runs."""
+    runs, out = collections.defaultdict(list), {}
+    for d, s, e, _ in repeats_of(rows, least):
+        runs[d].append((s, e))
     for d, x in rows:
         for s, e in sorted(runs[d], reverse=True):
             x = x[:s] + x[e:]
