@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in have:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return spark
 
 
