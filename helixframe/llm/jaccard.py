@@ -66,14 +66,13 @@ def _sigs(batches: Iterator[pa.RecordBatch], sent, k: int, per_cent: int) -> Ite
 
 def _sets(batches: Iterator[pa.RecordBatch], sent, k: int) -> Iterator[pa.RecordBatch]:
     """The sets of documents whose hash a bit map may hold, with their nodes."""
-    for whole in batches:
-        for s in slices([whole.filter(pa.array(may_hold(sent.value, whole.column("hash").to_numpy())))]):
-            h, ptr = shingle_hashes(s.column("text"), k)
-            h >>= U64(8)  # as keys_of with one class for all
-            sets = [distinct(h[ptr[i] : ptr[i + 1]]) for i in range(len(s))]
-            at = np.concatenate([[0], np.cumsum([len(q) for q in sets])]).astype(np.int32)
-            names = pa.array([digest(q) if len(q) else 0 for q in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([names, s.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "doc_id", "keys"])
+    for s in slices(b.filter(pa.array(may_hold(sent.value, b.column("hash").to_numpy()))) for b in batches):
+        h, ptr = shingle_hashes(s.column("text"), k)
+        h >>= U64(8)  # as keys_of with one class for all
+        sets = [distinct(h[ptr[i] : ptr[i + 1]]) for i in range(len(s))]
+        at = np.concatenate([[0], np.cumsum([len(q) for q in sets])]).astype(np.int32)
+        names = pa.array([digest(q) if len(q) else 0 for q in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([names, s.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "doc_id", "keys"])
 
 
 def _near(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:

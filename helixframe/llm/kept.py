@@ -27,10 +27,9 @@ def keep(key: Hashable, make: Callable[[], T]) -> T:
 
 
 def drop() -> None:
-    """Lets go of what the worker keeps, and gives free memory back to the machine."""
+    """Lets go of what the worker keeps, and gives free memory back to the machine, also that of stages that kept nothing."""
     global _now
-    had, _now = _now[0] is not None, (None, None)
+    _now = (None, None)
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if had and trim:
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
