@@ -26,11 +26,11 @@ from helixframe.runtime import settle
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_part", pa.int32()), ("_nth", pa.int64())])
 #: Entries in each of the two generations of a worker's word memo.
-MEMO = 300_000
+MEMO = 400_000
 #: Longer words are encoded each time.
 MEMO_WORD = 64
 #: Texts that are encoded together.
-TOGETHER = 200
+TOGETHER = 250
 
 
 class Encoder:
