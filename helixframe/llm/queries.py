@@ -78,8 +78,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document, their ids as a count and a checksum."""
-    return sampling.sample_segmentations(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    """Two sampled segmentations of each document: their ids, with count and checksum."""
+    return sampling.sample_segmentations(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES = {

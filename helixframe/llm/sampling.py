@@ -393,15 +393,20 @@ def sample_segmentations(documents: DataFrame, model: str, k: int = 2, alpha: fl
             found, raws, all_ids = segment(texts, keys, v, k), [], []
             for i, text, own in zip(ids, texts, found):
                 for n, (pieces, log_p, inclusion) in enumerate(own, 1):
-                    for col, x in zip(rows, (i, n, pieces if with_ids else None, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), log_p, inclusion, True)):
+                    for col, x in zip(rows, (i, n, None, len(pieces), zlib.crc32(pieces.astype("<u4").tobytes()), log_p, inclusion, True)):
                         col.append(x)
                     raws.append(text.encode() if text else b"")
                     all_ids.append(pieces)
             # all ids at once; one by one only if something differs
-            whole = v.decode_marked(np.concatenate(all_ids)) if all_ids else b""
+            flat = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int64)
+            whole = v.decode_marked(flat)
             if whole != b"".join([b" " + r if r else b"" for r in raws]):
                 rows[-1] = [v.decode(x) == r for x, r in zip(all_ids, raws)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[j], kinds[j]) for j in keep], schema=schema)
+            cols = {n: pa.array(rows[j], kinds[j]) for j, n in enumerate(names) if n != "ids"}
+            if with_ids:
+                at = np.concatenate([[0], np.cumsum(np.array(rows[3], np.int64))])
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([cols[n] for n in schema.names], schema=schema)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, ", ".join(SCHEMA.split(", ")[i] for i in keep))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import packing, sampling, topk, warc
-from helixframe.llm.queries import vocabulary
+from helixframe.llm.queries import QUERIES, vocabulary
 
 
 # --- WARC
@@ -237,6 +237,17 @@ def test_decoding_gives_texts_back(docs, odd):
     assert sampling.sample_segmentations(odd, path, 2, with_ids=False).filter("sample = 1").count() == 10
 
 
+def test_sampling_query_returns_the_ids(spark):
+    at = "/root/testdata/sf0.001"
+    out = QUERIES["op10_sentencepiece_sampling"](spark, at)
+    rows = out.collect()
+    assert rows and all(r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
+    want = collections.Counter((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect())
+    texts = sampling.decode(out, vocabulary("piece_bpe_32k.model")).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in texts if r["sample"] == 1) == want
+    assert all((r["doc_id"], r["text"]) in want for r in texts)
+
+
 def test_sampling_empty(empty):
     path = vocabulary("piece_bpe_32k.model")
     assert sampling.decode(sampling.sample_segmentations(empty, path), path).count() == 0
