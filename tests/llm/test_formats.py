@@ -4,9 +4,11 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,40 @@ def test_sampling_query_returns_the_ids(spark):
     assert all((r["doc_id"], r["text"]) in want for r in texts)
 
 
+def test_words_share_lattices_from_batch_to_batch(v, monkeypatch):
+    made = []
+    make = sampling.Lattices._make
+    monkeypatch.setattr(sampling.Lattices, "_make", lambda self, units, v: (made.extend(units), make(self, units, v))[1])
+    batches = [["the cat, the  dog", None, "a▁b \x00"], ["the dog the cat", ""], ["x" * 300 + " cat"], ["the cat, the  dog", "dog dog"]]
+
+    def run(room):
+        monkeypatch.setattr(sampling, "_KEPT_PLACES", room)
+        v.lattices.clear()
+        made.clear()
+        return [[[(p[0].tolist(), p[1], p[2]) for p in own] for own in sampling.segment(b, list(range(len(b))), v, 3)] for b in batches]
+
+    want = run(1 << 20)
+    assert len(made) == len(set(made)) and "▁cat" in made  # none is made again
+    for room in (0, 12, 40, 330):  # what is kept has no influence
+        assert run(room) == want
+        assert v.lattices.rows <= room
+
+
+def test_units_of_texts_as_slices_of_a_batch(v):
+    rng = random.Random(4)
+    one = re.compile("▁*[^▁\n\t.,]*[A-Za-zÀ-ÖØ-öø-ÿ](?=[.,])|▁*[^▁\n\t]+|▁+|[\n\t]")
+    for _ in range(500):
+        texts = [None if rng.random() < 0.15 else "".join(rng.choice(["aé", " ", "  ", "\n", "\t", ".", ",", "▁", "\x00", "😀"]) for _ in range(rng.randint(0, 9))) for _ in range(8)]
+        start = rng.randint(0, 8)
+        words, found, ends = sampling._words(pa.array(texts).slice(start).cast(pa.large_string()))
+        flat, count = sampling._units(found)
+        first, begin = np.cumsum(count) - count, 0
+        for t, end in zip(texts[start:], ends.tolist()):
+            got = [u for w in words[begin:end] for u in flat[first[w] : first[w] + count[w]]]
+            assert got == (one.findall("▁" + t.replace("▁", "\udfff").replace(" ", "▁")) if t else [])
+            begin = end
+
+
 def test_sampling_empty(empty):
     path = vocabulary("piece_bpe_32k.model")
     assert sampling.decode(sampling.sample_segmentations(empty, path), path).count() == 0
