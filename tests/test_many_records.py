@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import tags
-from helixframe.operators import records, regions
+from helixframe.operators import pairs, records, regions
 from helixframe.plans import fixture as fx
 from helixframe.schema import TAG
-from helixframe.sources import bam, bgzf_codec, files
+from helixframe.sources import bam, bgzf, bgzf_codec, files
 from helixframe.sources.bai_codec import Builder
 from helixframe.sources.header import Entry, Header
 from helixframe.sources.record_codec import encode
@@ -78,3 +78,65 @@ def test_packed_tags_are_written_as_they_are(spark, tmp_path, data):
     with pytest.raises(Exception, match="NUL"):
         bad = rows.withColumn("tags", tags.push(tags.none(), tags.tag("XZ", "Z", s=F.lit("a\0b"))))
         bad.select(tags.packed("tags")).collect()
+
+
+def test_block_pieces_are_bounded_and_short_blocks_are_read_back(tmp_path):
+    path = str(tmp_path / "x.gz")
+    with files.open_output(path) as out:
+        w = bgzf_codec.Writer(out, 6)
+        want = [b"", *(bytes([65 + i % 20]) * (i % 700) + b"%d" % i for i in range(3000)), random.Random(2).randbytes(65_000)]
+        for x in want:
+            w.write(x)
+            w.flush()
+        w.finish()
+    reader = bgzf.BlockReader({"path": path, "splitSize": "40"})
+    parts = reader.partitions()
+    assert len(parts) <= bgzf.MOST_PARTITIONS + 1
+    assert [x for p in parts for b in reader.read(p) for x in b.column("data").to_pylist() if x] == want[1:]
+    for n in range(0, 3000, 37):  # at any length and level
+        for level in (0, 1, 6, 9):
+            (b,) = bgzf_codec.blocks_for(want[-1][:n], level)
+            assert bgzf_codec.load(_Bytes(b), 0).contents == want[-1][:n]
+
+
+class _Bytes:
+    def __init__(self, raw):
+        self.raw = raw
+
+    def read_at(self, n, at):
+        return self.raw[at : at + n]
+
+
+def test_nested_inserts_do_not_multiply(spark):
+    few = many = F.col("tags")
+    for i in range(9):
+        few, many = (tags.insert(few, tags.int_tag(f"X{i}", F.lit(i))) if i < 3 else few), tags.insert(many, tags.int_tag(f"X{i}", F.lit(i)))
+    assert len(str(many)) < 20 * len(str(few))
+    got = spark.range(1).select(tags.none().alias("tags")).select(tags.sam_text(many)).first()[0]
+    assert got == "\t".join(f"X{i}:i:{i}" for i in range(9))
+
+
+def test_pairs_of_long_alignments(spark):
+    ops = [(i % 5 + 1, "MIDNSHP=X"[i * 7 % 9]) for i in range(600)]
+    q = r = 0
+    want = []
+    for n, op in ops:
+        for k in range(n if op not in "HP" else 0):
+            want.append((q + k if op in "MIS=X" else None, 50 + r + k if op in "MDN=X" else None))
+        q, r = q + n * (op in "MIS=X"), r + n * (op in "MDN=X")
+    rows = spark.createDataFrame([(0, 50, "".join(f"{n}{op}" for n, op in ops))], "ref_id int, start int, cigar string")
+    assert [tuple(x) for x in pairs.aligned_pairs(rows).select("q_pos", "r_pos").collect()] == want
+
+
+def test_short_regions_do_not_meet_all_of_a_thousand_places(spark):
+    assert regions.LEAST_TILE <= 7
+    rows = spark.range(3000).selectExpr("concat('r', id) qname", "0 flag", "0 ref_id", "cast(id as int) start", "cast(id + 60 as int) end")
+    wanted = spark.createDataFrame([(1, 0, 1000, 1040), (2, 0, 127, 128), (3, 0, 0, 2900)], "region_id int, ref_id int, start int, end int")
+    got = sorted((x[0], x[1]) for x in regions.fetch_many(rows, wanted).select("region_id", "start").collect())
+    assert got == sorted((i, s) for i, a, b in ((1, 1000, 1040), (2, 127, 128), (3, 0, 2900)) for s in range(3000) if s < b and s + 60 > a)
+
+
+def test_equal_chunks_become_one(spark):
+    chunks = [(i % 3, s, s + 5) for i in range(300) for s in (0, 10, 13, 40)]
+    got = sorted(map(tuple, regions.merge_chunks(spark.createDataFrame(chunks, "bin int, vstart long, vend long"), "bin").collect()))
+    assert got == sorted((b, *x) for b in range(3) for x in ((0, 5), (10, 18), (40, 45)))
